@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tessera.llm.bpe import encode_texts
+from tessera.llm.distinctive import distinctiveness
 from tessera.llm.ngrams import marked_counts
+from tessera.llm.quality import text_structure, unlike_prose
 from tessera.llm.rank_fusion import fuse_rankings
 from tessera.llm.topn import top_per_group
 
@@ -34,8 +38,43 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_rankings(run, "qid", "doc_id", "score", "run_tag", top=3, min_systems=4).select("qid", "doc_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unlike_prose(_table(spark, folder, "corpus"), "doc_id", "text")
+
+
+def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Basic counts, divergence and structure of every row of corpus."""
+    corpus = _table(spark, folder, "corpus")
+    named = ["ord", "n_chars", "n_words", "mean_word_length", "symbol_ratio", "n_lines", "end_punctuation_ratio", "common_word_ratio", "divergence", "structure"]
+    return text_structure(corpus, "ord", "text").select(*named)
+
+
+def _term_scores(spark: SparkSession, folder: str) -> DataFrame:
+    corpus, asked = _table(spark, folder, "corpus"), _table(spark, folder, "queries_dev")
+    of_docs = distinctiveness(corpus, "doc_id", "text").withColumn("rec_kind", F.lit("doc"))
+    of_queries = distinctiveness(corpus, "doc_id", "text", asked, "qid", "query_text").withColumn("rec_kind", F.lit("query"))
+    return of_docs.unionByName(of_queries)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms with a score whose counts are those of a case."""
+    cases = _term_scores(spark, folder).where("df between 2 and 12 and (rec_kind = 'query' or tf >= 3) and score > 0")
+    return cases.select("rec_kind", "rec_id", "term")
+
+
+def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most distinctive terms of every record."""
+    order = Window.partitionBy("rec_kind", "rec_id").orderBy(F.desc(F.round("score", 6)), F.asc("term"))
+    best = _term_scores(spark, folder).withColumn("place", F.row_number().over(order)).where("place <= 5")
+    return best.select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"), "place")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p6_found, p6_scores, p7_ids)}
 
 
 _P1 = """
@@ -57,5 +96,13 @@ from words, total group by term, total.n
 having count(distinct doc_id) < 3 or count(distinct doc_id) > 0.3 * total.n"""
 
 
+_P6 = _TERMS + """,
+tf as (select doc_id, term, count(*) as tf from words group by doc_id, term),
+held as (select term from tf group by term having count(*) between 2 and 12)
+select 'doc' as rec_kind, doc_id as rec_id, term from tf join held using (term) where tf >= 3
+union all
+select distinct 'query', qid, term from (select qid, unnest(regexp_extract_all(lower(query_text), '[a-z0-9]+')) as term from queries_dev) q join held using (term)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2}
+    return {"p1_found": _P1, "p2_found": _P2, "p6_found": _P6}
