@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import written
+
 #: Rows from which on a query is ranked in score buckets.
 HOT_ROWS = 100_000
 #: Score buckets of a list of a large query, and copies of a score level in the join back.
@@ -74,7 +76,7 @@ def _median(places: Column, half: Column) -> Column:
 
 
 def fuse_rankings(
-    df: DataFrame, query: str, item: str, score: str, system: str, top: int | None = None, min_systems: int = 1, weights: dict[str, float] | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, query_col: str, item_col: str, score: str, system: str, top: int | None = None, min_systems: int = 1, weights: dict[str, float] | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``(query, item, median_rank, mean_rank, n_systems, rank)``: one order of items per query.
 
@@ -86,29 +88,33 @@ def fuse_rankings(
     positive weight other than 1.  ``top`` keeps the first so many per query.
     An empty table gives an empty one.
     """
-    rows = df.select(F.col(query).alias("query"), F.col(system).alias("system"), F.col(item).alias("item"), (F.col(score).cast("double") + 0.0).alias("score"))
+    rows = df.select(F.col(query_col).alias("query"), F.col(system).alias("system"), F.col(item_col).alias("item"), (F.col(score).cast("double") + 0.0).alias("score"))
     rows = rows.dropna().where(~F.isnan("score"))
     sizes = rows.groupBy("query").agg(F.count("*").alias("rows"))
     hot = sizes.where(F.col("rows") > hot_rows).select("query")
     some_hot = bool(hot.head(1))
 
-    def whole(part: DataFrame, ranked, by: list[str]) -> DataFrame:
-        best = part.groupBy("query", "system", "item").agg(F.max("score").alias("score"))
-        places = ranked(best).withColumn("weight", _weight(weights))
-        lists = places.groupBy("query", "system").agg(F.max("listed").alias("listed"), F.max("weight").alias("weight"))
-        lists = lists.groupBy("query").agg(F.count("*").alias("lists"), F.sum("weight").alias("all"), F.max("listed").alias("longest"))
-        lists = lists.where(F.col("lists") >= min_systems)
-        items = places.groupBy("query", "item").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("places"))
-        if "salt" in by:
-            lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            items = items.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALT)).cast("int"))
-        return items.join(lists, by).drop("salt")
+    def one_each(part: DataFrame) -> DataFrame:
+        return part.groupBy("query", "system", "item").agg(F.max("score").alias("score"))
+
+    def by_item(places: DataFrame, *more: Column) -> DataFrame:
+        return places.groupBy("query", "item").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("places"), *more)
 
+    # Each list's rows add up to 1 / listed each, so sums over a query count its lists and their weights.
+    totals = {"lists": F.sum(1 / F.col("listed")), "all": F.sum(F.col("weight") / F.col("listed")), "longest": F.max("listed")}
+    cold = rows.join(hot, "query", "left_anti") if some_hot else rows
+    query = Window.partitionBy("query")
+    places = _ranked(one_each(cold.repartition("query"))).withColumn("weight", _weight(weights))
+    places = places.withColumns({c: x.over(query) for c, x in totals.items()})
+    joined = by_item(places, *(F.first(c).alias(c) for c in totals))
     if some_hot:
-        cold = rows.join(hot, "query", "left_anti").repartition("query")
-        joined = whole(cold, _ranked, ["query"]).unionByName(whole(rows.join(hot, "query", "left_semi"), _ranked_in_buckets, ["query", "salt"]))
-    else:
-        joined = whole(rows.repartition("query"), _ranked, ["query"])
+        best = written(one_each(rows.join(hot, "query", "left_semi")), "large-queries")
+        places = _ranked_in_buckets(best).withColumn("weight", _weight(weights))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+        lists = places.groupBy("query").agg(*(x.alias(c) for c, x in totals.items())).withColumn("salt", salts)
+        items = by_item(places).withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALT)).cast("int"))
+        joined = joined.unionByName(items.join(lists, ["query", "salt"]).drop("salt"))
+    joined = joined.where(F.round("lists") >= min_systems).withColumn("all", F.round("all", 9))
 
     behind = (F.col("longest") + 1).cast("double")
     missing = F.col("all") - F.aggregate("places", F.lit(0.0), lambda s, p: s + p["weight"])
@@ -120,4 +126,4 @@ def fuse_rankings(
     ranked = ranked.withColumn("rank", F.row_number().over(order))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return ranked.select(F.col("query").alias(query), F.col("item").alias(item), "median_rank", "mean_rank", "n_systems", "rank")
+    return ranked.select(F.col("query").alias(query_col), F.col("item").alias(item_col), "median_rank", "mean_rank", "n_systems", "rank")
