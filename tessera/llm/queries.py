@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_texts
 from tessera.llm.distinctive import distinctiveness
+from tessera.llm.near_duplicates import NearDuplicates
 from tessera.llm.ngrams import marked_counts
 from tessera.llm.quality import text_structure, unlike_prose
 from tessera.llm.rank_fusion import fuse_rankings
@@ -49,6 +50,15 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_structure(corpus, "ord", "text").select(*named)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return NearDuplicates(_table(spark, folder, "corpus"), "doc_id", "text", size=3, threshold=0.5).pairs().toDF("doc_id_a", "doc_id_b")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of three terms or more and its group of near duplicates."""
+    return NearDuplicates(_table(spark, folder, "corpus"), "doc_id", "text", size=3, threshold=0.5).groups().toDF("doc_id", "group_id")
+
+
 def _term_scores(spark: SparkSession, folder: str) -> DataFrame:
     corpus, asked = _table(spark, folder, "corpus"), _table(spark, folder, "queries_dev")
     of_docs = distinctiveness(corpus, "doc_id", "text").withColumn("rec_kind", F.lit("doc"))
@@ -74,7 +84,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p6_found, p6_scores, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p6_found, p6_scores, p7_ids)}
 
 
 _P1 = """
