@@ -32,6 +32,15 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _evaluated(df: DataFrame, *columns: Column) -> DataFrame:
+    """``id`` and ``columns``, computed once per row.
+
+    A plain select would be merged with what follows, and every later mention
+    of a column would run its patterns again; a generator is not merged.
+    """
+    return df.select("id", F.explode(F.array(F.struct(*columns))).alias("all")).select("id", "all.*")
+
+
 def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``df``: id, counts and shares of its text.
 
@@ -49,8 +58,8 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = {c: count(rf"\b(?:{'|'.join(ws.split())})\b") for c, ws in FUNCTION_WORDS.items()}
     words["number"] = count(r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])")
     words["code"] = count(r"(?<![\p{L}\p{N}])(?:\p{L}+\p{N}|\p{N}+\p{L})[\p{L}\p{N}]*")
-    counted = rows.select(
-        "id",
+    counted = _evaluated(
+        rows,
         F.length(text).alias("n_chars"),
         count(r"[\p{L}\p{N}]+").alias("n_words"),
         F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")).alias("in_words"),
@@ -64,13 +73,13 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = sum((F.col(f"c_{c}") for c in CHAR_PATTERNS), F.lit(0))
     known = sum((F.col(f"w_{c}") for c in words), F.lit(0))
     common = sum((F.col(f"w_{c}") for c in FUNCTION_WORDS), F.lit(0))
-    return counted.select(
-        F.col("id").alias(id_col),
-        "n_chars",
-        "n_words",
+    shares = _evaluated(
+        counted,
+        F.col("n_chars"),
+        F.col("n_words"),
         _share(F.col("in_words"), total).alias("mean_word_length"),
         _share(F.col("symbols"), chars).alias("symbol_ratio"),
-        "n_lines",
+        F.col("n_lines"),
         F.least(_share(F.col("ended"), F.col("n_lines")), F.lit(1.0)).alias("end_punctuation_ratio"),
         _share(common, total).alias("common_word_ratio"),
         *(_share(F.col(f"w_{c}"), total).alias(f"w_{c}") for c in words),
@@ -78,6 +87,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         *(_share(F.col(f"c_{c}"), chars).alias(f"c_{c}") for c in CHAR_PATTERNS),
         _share(F.greatest(chars - named, F.lit(0)), chars).alias("c_symbol"),
     )
+    return shares.withColumnRenamed("id", id_col)
 
 
 #: Shares of word and character classes of typical texts of each structure.
@@ -132,8 +142,9 @@ def text_structure(df: DataFrame, id_col: str, text_col: str, profiles: list = P
         by_words = F.when(F.col("n_words") > 0, _divergence(words, p["words"])).otherwise(0.0)
         return F.struct((by_words + _divergence(chars, p["chars"])).alias("divergence"), p["kind"].alias("structure"))
 
-    best = stats.withColumn("near", F.when(some, F.array_min(F.transform(known, far))))
-    return best.select(*stats.columns, F.col("near.divergence").alias("divergence"), F.col("near.structure").alias("structure"))
+    named = [c for c in stats.columns if c != id_col]
+    best = _evaluated(stats.withColumnRenamed(id_col, "id"), *(F.col(c) for c in named), F.when(some, F.array_min(F.transform(known, far))).alias("near"))
+    return best.select(F.col("id").alias(id_col), *named, F.col("near.divergence").alias("divergence"), F.col("near.structure").alias("structure"))
 
 
 def unlike_prose(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
