@@ -28,6 +28,16 @@ CHAR_CLASSES = [*CHAR_PATTERNS, "symbol"]
 COMMON = [w for c in FUNCTION_WORDS.values() for w in c.split()]
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words that tests one letter at a time, not one word after the other."""
+    ends = "" in words
+    firsts = sorted({w[0] for w in words if w})
+    branches = [c + _any_of([w[1:] for w in words if w[:1] == c]) for c in firsts]
+    if not branches:
+        return ""
+    return f"(?:{'|'.join(branches)}){'?' if ends else ''}" if len(branches) > 1 or ends else branches[0]
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -55,7 +65,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kept = {c: F.length(F.regexp_replace(text, f"[^{p}]+", "")) for c, p in CHAR_PATTERNS.items()}
     count = lambda pattern, of=low: F.regexp_count(of, F.lit(pattern))
-    words = {c: count(rf"\b(?:{'|'.join(ws.split())})\b") for c, ws in FUNCTION_WORDS.items()}
+    words = {c: count(rf"\b{_any_of(ws.split())}\b") for c, ws in FUNCTION_WORDS.items()}
     words["number"] = count(r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])")
     words["code"] = count(r"(?<![\p{L}\p{N}])(?:\p{L}+\p{N}|\p{N}+\p{L})[\p{L}\p{N}]*")
     counted = _evaluated(
