@@ -11,8 +11,10 @@ from tessera.llm.bpe import encode_texts
 from tessera.llm.distinctive import distinctiveness
 from tessera.llm.near_duplicates import NearDuplicates
 from tessera.llm.ngrams import marked_counts
+from tessera.llm.packing import pack_texts
 from tessera.llm.quality import text_structure, unlike_prose
 from tessera.llm.rank_fusion import fuse_rankings
+from tessera.llm.subjects import document_subjects
 from tessera.llm.topn import top_per_group
 
 
@@ -83,8 +85,29 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Container of every part of every document."""
+    return pack_texts(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels, subjects = (_table(spark, folder, t) for t in ("documents", "doc_labels", "subjects"))
+    return document_subjects(docs, "doc_id", "text", labels, "doc_id", "subject", subjects)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each subject and their share of all documents."""
+    total = _table(spark, folder, "documents").count()
+    found = _subjects(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+    return found.withColumn("share", F.col("documents") / F.lit(max(total, 1)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p6_found, p6_scores, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p6_found, p6_scores, p7_ids, p8_containers, p9_found, p9_composition)}
 
 
 _P1 = """
