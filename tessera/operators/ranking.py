@@ -193,8 +193,12 @@ def fill_to_k(ranked: DataFrame, queries: DataFrame, index: Index, k: int = 10)
     real = ranked.select("qid", "ord", "doc_id", "score", "rank")
     state = queries.select("qid").distinct().join(real.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("floor")), "qid", "left")
     short = state.select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("floor", F.lit(1.0)).alias("floor")).where(F.col("n") < k)
-    fillers = filler_order(index, 2 * k).agg(F.collect_list(F.struct("ord", "doc_id", "place")).alias("all"))
-    offered = short.join(F.broadcast(fillers)).select("qid", "n", "floor", F.explode("all").alias("f")).select("qid", "n", "floor", "f.*")
+    longest = filler_order(index, 2 * k).collect()  # 2k rows
+    kind = index.docs.schema["doc_id"].dataType
+    fillers = [F.struct(F.lit(r["ord"]).cast("bigint").alias("ord"), F.lit(r["doc_id"]).cast(kind).alias("doc_id"), F.lit(r["place"]).alias("place")) for r in longest]
+    if not fillers:
+        return real
+    offered = short.select("qid", "n", "floor", F.explode(F.array(*fillers)).alias("f")).select("qid", "n", "floor", "f.*")
     free = offered.join(real.select("qid", "ord"), ["qid", "ord"], "left_anti")
     free = free.withColumn("rank", F.col("n") + F.row_number().over(Window.partitionBy("qid").orderBy("place"))).where(F.col("rank") <= k)
     score = F.col("floor") * 1e-6 - F.col("place") * 1e-9
