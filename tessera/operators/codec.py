@@ -99,26 +99,39 @@ def _postings(blocks: DataFrame) -> DataFrame:
     return rows.select("term", (F.col("base") + F.sum("p.gaps").over(upto)).alias("ord"), F.col("p.tfs").alias("tf"))
 
 
+def _decoded(blocks: DataFrame, **streams: str) -> DataFrame:
+    """``term``, ``block`` and the numbers of each stream, decoded once.
+
+    A plain select would be merged into what follows and decode again at every mention.
+    """
+    numbers = F.struct(*(decode(F.col(data)).alias(name) for name, data in streams.items()))
+    return blocks.select("term", "block", F.explode(F.array(numbers)).alias("all")).select("term", "block", "all.*")
+
+
 def decode_interleaved(blocks: DataFrame) -> DataFrame:
     """``(term, ord, tf)`` of ``encode_interleaved``."""
-    numbers = blocks.select("term", "block", decode(F.col("data")).alias("n"))
+    numbers = _decoded(blocks, n="data")
     pick = lambda odd: F.filter("n", lambda _, i: i % 2 == odd)
     return _postings(numbers.select("term", "block", pick(0).alias("gaps"), pick(1).alias("tfs")))
 
 
 def decode_streams(blocks: DataFrame) -> DataFrame:
-    """``(term, ord, tf)`` of ``encode_streams``; an error if the streams don't fit each other."""
-    numbers = blocks.select("term", "block", decode(F.col("gap_stream")).alias("flagged"), decode(F.col("tf_stream")).alias("more"))
-    fits = F.aggregate("flagged", F.lit(0).cast("bigint"), lambda n, x: n + x % 2) == F.size("more")
-    # Rows of one block, so the running count of flags gives the place in the other stream.
-    rows = numbers.select("term", "block", "more", fits.alias("fits"), F.posexplode("flagged").alias("at", "x"))
-    upto = Window.partitionBy("term", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("place", F.sum(F.col("x") % 2).over(upto).cast("int"))
-    tf = F.when(F.col("x") % 2 == 1, F.get("more", F.col("place") - 1) + 2).otherwise(F.lit(1))
-    tf = F.when(F.col("fits"), tf).otherwise(F.raise_error(F.lit("the frequency stream has another length than the flags say")).cast("bigint"))
-    gap = F.floor(F.col("x") / 2)
-    rows = rows.select("term", "block", "at", gap.alias("gap"), tf.alias("tf"))
-    sums = rows.groupBy("term", "block").agg(F.sum("gap").alias("gaps"))
+    """``(term, ord, tf)`` of ``encode_streams``; an error if the streams don't fit each other.
+
+    The number of flags up to a posting is the place of its frequency in the
+    other stream, so the streams are joined by that place.
+    """
+    numbers = _decoded(blocks, flagged="gap_stream", more="tf_stream")
+    keys = ["term", "block"]
+    rows = numbers.select(*keys, F.posexplode("flagged").alias("at", "x"))
+    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("place", F.sum(F.col("x") % 2).over(upto)).withColumn("place", F.when(F.col("x") % 2 == 1, F.col("place")))
+    others = numbers.select(*keys, F.posexplode("more").alias("place", "more")).withColumn("place", F.col("place").cast("bigint") + 1)
+    joined = rows.join(others, [*keys, "place"], "full")
+    fits = F.col("x").isNotNull() & (F.col("place").isNull() | F.col("more").isNotNull())
+    tf = F.when(~fits, F.raise_error(F.lit("the frequency stream has another length than the flags say")).cast("bigint")).otherwise(F.coalesce(F.col("more") + 2, F.lit(1)))
+    joined = joined.select(*keys, "at", F.floor(F.col("x") / 2).alias("gap"), tf.alias("tf"))
+    sums = joined.groupBy(*keys).agg(F.sum("gap").alias("gaps"))
     earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("term", "block", F.coalesce(F.sum("gaps").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(bases, ["term", "block"]).select("term", (F.col("base") + F.sum("gap").over(upto)).alias("ord"), "tf")
+    bases = sums.select(*keys, F.coalesce(F.sum("gaps").over(earlier), F.lit(0)).alias("base"))
+    return joined.join(bases, keys).select("term", (F.col("base") + F.sum("gap").over(upto)).alias("ord"), "tf")

@@ -36,13 +36,14 @@ def ideal_dcg(qrels: DataFrame, k: int = DEPTH) -> DataFrame:
     return relevant.join(ideal, "qid")
 
 
-def per_query_metrics(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tuple[str, ...] = ()) -> DataFrame:
+def per_query_metrics(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tuple[str, ...] = (), settings: list[tuple] | None = None) -> DataFrame:
     """``ndcg_10, map_10, mrr, p_k, num_ranked`` per setting and judged query.
 
     A judged query that the run lacks scores 0 throughout; run queries without
     judgments are left out.  nDCG and MAP have a depth of 10, only precision
     uses ``k``; with ``k`` 0 it is 0.  A query whose ideal is 0 has nDCG 0, one
-    without relevant documents MAP 0.
+    without relevant documents MAP 0.  ``settings`` lists the values of ``by``;
+    where it is absent they are read off the run, which computes it once more.
     """
     ranked = dedup_keep_first(run, by)
     known = qrels.select("qid", "doc_id", "rel")
@@ -61,7 +62,8 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tupl
     asked = ideal_dcg(qrels)
     if by:
         # Settings are few: a grid's points, never rows of data.
-        settings = [tuple(r) for r in run.select(*by).distinct().collect()]
+        if settings is None:
+            settings = [tuple(r) for r in run.select(*by).distinct().collect()]
         kinds = [run.schema[c].dataType for c in by]
         points = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, kinds, by, strict=True))) for row in settings]
         if not points:
@@ -87,8 +89,8 @@ def aggregate_metrics(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFra
     return per_query.groupBy(*by).agg(*means, F.count("*").alias("num_queries"))
 
 
-def evaluate_run(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tuple[str, ...] = ()) -> DataFrame:
-    return aggregate_metrics(per_query_metrics(run, qrels, k, by), by)
+def evaluate_run(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tuple[str, ...] = (), settings: list[tuple] | None = None) -> DataFrame:
+    return aggregate_metrics(per_query_metrics(run, qrels, k, by, settings), by)
 
 
 def skipped_queries(run: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def _sql(ctes: list[str], select: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + select
 
 
-_MEANS = "round(coalesce(avg(ndcg_10), 0), 6) as ndcg_10, round(coalesce(avg(map_10), 0), 6) as map_10, round(coalesce(avg(mrr), 0), 6) as mrr, round(coalesce(avg(p_k), 0), 6) as p_k, count(*) as num_queries"
+_MEANS = "round(coalesce(avg(ndcg_10), 0) + 1e-9, 6) as ndcg_10, round(coalesce(avg(map_10), 0) + 1e-9, 6) as map_10, round(coalesce(avg(mrr), 0) + 1e-9, 6) as mrr, round(coalesce(avg(p_k), 0) + 1e-9, 6) as p_k, count(*) as num_queries"
 _RANKED = "select qid, doc_id, round(score, 4) as score, rank from "
 _TITLE = _index(boost=2)
 _ENTRY = [*_TITLE, _scored("s", "qweight", 1.5, 0.75), _top("top", "s")]
