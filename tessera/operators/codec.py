@@ -39,17 +39,26 @@ def encode(values: Column) -> Column:
     return F.flatten(F.transform(values, encode_number))
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode(data: Column) -> Column:
     """Numbers of an array of bytes; an incomplete one at the end is dropped."""
-    places = F.sequence(F.lit(1), F.size(data))
-    ends = F.when(F.size(data) > 0, F.filter(places, lambda i: F.element_at(data, i.cast("int")) >= 128)).otherwise(F.array().cast("array<int>"))
 
-    def number(end: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-        groups = F.slice(data, begin + 1, end - begin)
-        return F.aggregate(groups, F.lit(0).cast("bigint"), lambda total, b: total * 128 + F.pmod(b, F.lit(128)))
+    def numbers(held: Column, ends: Column) -> Column:
+        def number(end: Column, i: Column) -> Column:
+            begin = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+            return F.aggregate(F.slice(held, begin + 1, end - begin), F.lit(0).cast("bigint"), lambda total, b: total * 128 + F.pmod(b, F.lit(128)))
+
+        return F.transform(ends, number)
+
+    def places(held: Column) -> Column:
+        flagged = F.transform(held, lambda b, i: F.when(b >= 128, i + 1))
+        return F.filter(flagged, lambda i: i.isNotNull())
 
-    return F.transform(ends, number)
+    return _with(data, lambda held: _with(places(held), lambda ends: numbers(held, ends)))
 
 
 def gaps(postings: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:

@@ -142,18 +142,23 @@ def expansion_terms(model: DataFrame, index: Index, fb_terms: int = FB_TERMS, mi
     return known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fb_terms).select("qid", "term", "weight")
 
 
-def expanded_queries(weights: DataFrame, kept: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``(qid, term, weight)``: original and expansion terms, each side of weight 1, mixed by ``alpha``.
+def mixed_weights(weights: DataFrame, kept: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``(qid, term, weight, expanded)`` of all queries.
 
-    Only queries that have an expansion; their weights add up to 1.
+    An expanded query has original and expansion terms, each side of weight 1,
+    mixed by ``alpha``; one without an expansion keeps its weights.
     """
+    by_query = Window.partitionBy("qid")
+    own = weights.select("qid", "term", F.col("weight").alias("plain"), (F.col("weight") / F.sum("weight").over(by_query)).alias("own"))
+    more = kept.select("qid", "term", (F.col("weight") / F.sum("weight").over(by_query)).alias("more"))
+    both = own.join(more, ["qid", "term"], "full").withColumn("expanded", F.max(F.col("more").isNotNull()).over(by_query))
+    mixed = F.lit(alpha) * F.coalesce("own", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("more", F.lit(0.0))
+    return both.select("qid", "term", F.when(F.col("expanded"), mixed).otherwise(F.col("plain")).alias("weight"), "expanded")
 
-    def normal(side: DataFrame, part: float) -> DataFrame:
-        return side.select("qid", "term", (F.lit(part) * F.col("weight") / F.sum("weight").over(Window.partitionBy("qid"))).alias("weight"))
 
-    original = weights.join(kept.select("qid").distinct(), "qid", "left_semi")
-    both = normal(original, alpha).unionByName(normal(kept, 1 - alpha))
-    return both.groupBy("qid", "term").agg(F.sum("weight").alias("weight"))
+def expanded_queries(weights: DataFrame, kept: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``(qid, term, weight)`` of the queries that have an expansion; a query's weights add up to 1."""
+    return mixed_weights(weights, kept, alpha).where("expanded").drop("expanded")
 
 
 def rm3(
@@ -168,10 +173,8 @@ def rm3(
     weights = query_weights(queries, index)
     first = bm25_scores(weights, index, k1, b)
     kept = expansion_terms(relevance_model(feedback_weights(first, index, fb_docs), index), index, fb_terms, min_idf)
-    expanded = expanded_queries(weights, kept, alpha)
-    rest = weights.join(expanded.select("qid").distinct(), "qid", "left_anti")
-    both = expanded.withColumn("expanded", F.lit(True)).unionByName(rest.withColumn("expanded", F.lit(False)))
-    return top_k(bm25_scores(both, index, k1, b, ("qid", "expanded")), index, k, ("qid", "expanded"))
+    by = ("qid", "expanded")
+    return top_k(bm25_scores(mixed_weights(weights, kept, alpha), index, k1, b, by), index, k, by)
 
 
 # Result shaping
