@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.index import Index
+from tessera.scratch import written
+
+#: Query terms (rows of query and term) of a batch that are sent to every task; a larger batch is joined by shuffle.
+BROADCAST_QUERY_TERMS = 500_000
 
 #: Textbook parameters, and those of the default configuration.
 K1, B = 1.2, 0.75
@@ -30,6 +34,23 @@ def top_k(scored: DataFrame, index: Index, k: int, by: tuple[str, ...] = ("qid",
     return best.join(index.docs.select("ord", "doc_id"), "ord").select(*by, "ord", "doc_id", "score", "rank")
 
 
+def matching_postings(asked: DataFrame, index: Index) -> DataFrame:
+    """Postings joined with the query terms ``(..., term, ...)`` of a batch.
+
+    The postings of any asked term move once, to partitions by document, and
+    meet the queries there.  What follows is grouped by query and document and
+    needs no shuffle of its own, so the rows that multiply with the number of
+    queries never move; only each partition's best do.  The number of partitions
+    is the session's, as rows multiply after the shuffle that could be coalesced.
+    """
+    asked = written(asked, "query-terms")
+    if asked.count() > BROADCAST_QUERY_TERMS:
+        return asked.join(index.postings, "term")
+    held = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    by_document = held.repartition(int(index.spark.conf.get("spark.sql.shuffle.partitions")), "ord")
+    return by_document.join(F.broadcast(asked), "term")
+
+
 # Boolean
 
 
@@ -42,7 +63,7 @@ def boolean_search(queries: DataFrame, index: Index, mode: str = "and") -> DataF
     if mode.lower() not in ("and", "or"):
         raise ValueError(f"mode {mode!r} is neither 'and' nor 'or'")
     asked = index.analyzed(queries).select("qid", "term")
-    hits = asked.join(index.postings.select("term", "ord"), "term")
+    hits = matching_postings(asked, index)
     if mode.lower() == "or":
         return hits.select("qid", "ord").distinct()
     needed = asked.groupBy("qid").agg(F.count("*").alias("needed"))
@@ -75,7 +96,7 @@ def vsm_scores(queries: DataFrame, index: Index, norms: DataFrame | None = None)
     asked = index.analyzed(queries).join(index.terms, "term").withColumn("idf", _vsm_idf(index))
     asked = asked.withColumn("qw", (1 + F.log10("qtf")) * F.col("idf"))
     asked = asked.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("qid")))).where("qn > 0")
-    hits = asked.join(index.postings.select("term", "ord", "tf"), "term")
+    hits = matching_postings(asked.select("qid", "term", "idf", "qw", "qn"), index)
     dots = hits.groupBy("qid", "ord").agg(F.sum(F.col("qw") * (1 + F.log10("tf")) * F.col("idf")).alias("dot"), F.first("qn").alias("qn"))
     joined = dots.join(norms if norms is not None else vsm_norms(index), "ord")
     return joined.select("qid", "ord", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
@@ -112,7 +133,7 @@ def bm25_scores(weights: DataFrame, index: Index, k1: float = K1, b: float = B,
     One join by term and one aggregate; the idf joins the few query terms, not the postings.
     """
     asked = weights.where("weight > 0").join(index.terms.select("term", bm25_idf(index).alias("idf")), "term")
-    hits = asked.join(index.postings, "term")
+    hits = matching_postings(asked, index)
     return hits.groupBy(*by, "ord").agg(F.sum(F.col("weight") * F.col("idf") * bm25_saturation(index, k1, b)).alias("score"))
 
 
@@ -193,7 +214,7 @@ def fill_to_k(ranked: DataFrame, queries: DataFrame, index: Index, k: int = 10)
     place among all documents by length / 10^9.  At most 2k of the longest are
     ever needed, as k of them at most are taken already.
     """
-    real = ranked.select("qid", "ord", "doc_id", "score", "rank")
+    real = written(ranked.select("qid", "ord", "doc_id", "score", "rank"), "ranked")  # k rows a query, read three times
     state = queries.select("qid").distinct().join(real.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("floor")), "qid", "left")
     short = state.select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("floor", F.lit(1.0)).alias("floor")).where(F.col("n") < k)
     longest = filler_order(index, 2 * k).collect()  # 2k rows
