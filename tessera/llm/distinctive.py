@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.records import one_per_record, terms_column
+from tessera.scratch import written
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,21 +34,40 @@ def dfr_score(tf: Column, length: Column, occurrences: Column, records: Column,
     return (F.log2(1 + mean) + f * F.log2((1 + mean) / mean)) / (f + 1)
 
 
+class TermModel:
+    """Term statistics of a collection, made once and used for any number of record sets.
+
+    ``counts`` has ``(rec_id, term, tf, length)`` of its own records, ``stats``
+    ``(term, df, occurrences)``.  Records with a null id or text are left out, a
+    record in several rows counts once, empty and blank texts hold no term but
+    count as records.
+    """
+
+    def __init__(self, corpus: DataFrame, id_col: str, text_col: str):
+        self.counts = written(term_frequencies(corpus, id_col, text_col), "term-counts")
+        # One row per term and task after the map-side combine, so common terms don't gather.
+        self.stats = written(self.counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")), "term-stats")
+        texts = corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col).distinct().count()
+        total = self.stats.agg(F.sum("occurrences")).first()[0] or 0
+        self.records, self.mean_length = max(texts, 1), total / max(texts, 1) or 1.0
+
+    def _score(self, counts: DataFrame) -> DataFrame:
+        score = dfr_score(F.col("tf"), F.col("length"), F.col("occurrences"), F.lit(float(self.records)), F.lit(float(self.mean_length)))
+        return counts.join(self.stats, "term").select("rec_id", "term", "tf", "df", score.alias("score"))
+
+    def own_scores(self) -> DataFrame:
+        """``(rec_id, term, tf, df, score)`` of every term of every record of the collection."""
+        return self._score(self.counts)
+
+    def scores(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """The same of other records; a term that the collection lacks has no statistics and gives no row."""
+        return self._score(term_frequencies(df, id_col, text_col))
+
+
 def distinctiveness(corpus: DataFrame, id_col: str, text_col: str, subject: DataFrame | None = None, subject_id: str | None = None, subject_text: str | None = None) -> DataFrame:
-    """``(rec_id, term, tf, df, score)`` for every term of every record.
+    """``(rec_id, term, tf, df, score)`` of the records of ``subject``, by default of ``corpus``, as ``TermModel`` gives it.
 
-    Statistics come from all of ``corpus``; the records scored are those of
-    ``subject``, by default of ``corpus`` itself.  Records with a null id or
-    text are left out, a record in several rows counts once, empty and blank
-    texts hold no term.  A term of ``subject`` that the corpus lacks has no
-    statistics and gives no row.  Empty tables give no rows.
+    Empty tables give no rows.
     """
-    own = term_frequencies(corpus, id_col, text_col)
-    # One row per term and task after the map-side combine, so common terms don't gather.
-    stats = own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
-    # The mean length is over all records with a text, those without a term included.
-    texts = one_per_record(corpus, id_col, text_col).agg(F.count("*").alias("n"), F.avg(F.size(terms_column(F.col("text")))).alias("mean")).first()
-    records, mean = max(texts["n"], 1), texts["mean"] or 1.0
-    scored = own if subject is None else term_frequencies(subject, subject_id, subject_text)
-    score = dfr_score(F.col("tf"), F.col("length"), F.col("occurrences"), F.lit(float(records)), F.lit(float(mean)))
-    return scored.join(stats, "term").select("rec_id", "term", "tf", "df", score.alias("score"))
+    model = TermModel(corpus, id_col, text_col)
+    return model.own_scores() if subject is None else model.scores(subject, subject_id, subject_text)

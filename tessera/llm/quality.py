@@ -61,24 +61,36 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words), and the shares ``w_*`` of word classes and ``c_*`` of character
     classes.  A null text has null statistics; an empty or blank one has zeros.
     """
-    text, low = F.col("text"), F.lower("text")
+    text, low, rest, known = F.col("text"), F.lower("text"), F.col("rest"), F.col("known")
+    count = lambda pattern, of: F.regexp_count(of, F.lit(pattern))
+    kept = lambda of, pattern: F.length(F.regexp_replace(of, f"[^{pattern}]+", ""))
+    member = lambda ws: lambda w: w.isin(ws)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kept = {c: F.length(F.regexp_replace(text, f"[^{p}]+", "")) for c, p in CHAR_PATTERNS.items()}
-    count = lambda pattern, of=low: F.regexp_count(of, F.lit(pattern))
-    words = {c: count(rf"\b{_any_of(ws.split())}\b") for c, ws in FUNCTION_WORDS.items()}
-    words["number"] = count(r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])")
-    words["code"] = count(r"(?<![\p{L}\p{N}])(?:\p{L}+\p{N}|\p{N}+\p{L})[\p{L}\p{N}]*")
-    counted = _evaluated(
+    # Whole texts are passed over once per pattern here ...
+    passed = _evaluated(
         rows,
         F.length(text).alias("n_chars"),
-        count(r"[\p{L}\p{N}]+").alias("n_words"),
-        F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")).alias("in_words"),
-        F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")).alias("symbols"),
+        F.regexp_replace(text, r"\p{L}+", "").alias("rest"),
+        F.regexp_extract_all(low, F.lit(rf"\b{_any_of(COMMON)}\b"), F.lit(0)).alias("known"),
+        count(r"[\p{L}\p{N}]+", text).alias("n_words"),
+        count(r"\p{N}[\p{L}\p{N}]*+", text).alias("with_number"),
+        count(r"\p{N}(?<![\p{L}\p{N}]\p{N})\p{N}*+(?![\p{L}\p{N}])", text).alias("w_number"),
         count(r"(?m)^[^\r\n]*\S[^\r\n]*$", text).alias("n_lines"),
         count(r"(?m)[.!?][ \t]*$", text).alias("ended"),
-        *(n.alias(f"c_{c}") for c, n in kept.items()),
-        *(n.alias(f"w_{c}") for c, n in words.items()),
     )
+    # ... the rest works on what letters leave over, and on the function words found.
+    letters = F.col("n_chars") - F.length(rest)
+    counted = _evaluated(
+        passed,
+        *(F.col(c) for c in ("n_chars", "n_words", "n_lines", "ended", "w_number")),
+        (letters + kept(rest, r"\p{N}")).alias("in_words"),
+        F.length(F.regexp_replace(rest, r"[\p{N}\s]+", "")).alias("symbols"),
+        letters.alias("c_letter"),
+        *(kept(rest, p).alias(f"c_{c}") for c, p in CHAR_PATTERNS.items() if c != "letter"),
+        *(F.size(F.filter(known, member(ws.split()))).alias(f"w_{c}") for c, ws in FUNCTION_WORDS.items()),
+        (F.col("with_number") - F.col("w_number")).alias("w_code"),
+    )
+    words = [*FUNCTION_WORDS, "number", "code"]
     chars, total = F.col("n_chars"), F.col("n_words")
     named = sum((F.col(f"c_{c}") for c in CHAR_PATTERNS), F.lit(0))
     known = sum((F.col(f"w_{c}") for c in words), F.lit(0))

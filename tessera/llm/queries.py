@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_texts
-from tessera.llm.distinctive import distinctiveness
+from tessera.llm.distinctive import TermModel
 from tessera.llm.near_duplicates import NearDuplicates
 from tessera.llm.ngrams import marked_counts
 from tessera.llm.packing import pack_texts
@@ -62,10 +62,9 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _term_scores(spark: SparkSession, folder: str) -> DataFrame:
-    corpus, asked = _table(spark, folder, "corpus"), _table(spark, folder, "queries_dev")
-    of_docs = distinctiveness(corpus, "doc_id", "text").withColumn("rec_kind", F.lit("doc"))
-    of_queries = distinctiveness(corpus, "doc_id", "text", asked, "qid", "query_text").withColumn("rec_kind", F.lit("query"))
-    return of_docs.unionByName(of_queries)
+    model = TermModel(_table(spark, folder, "corpus"), "doc_id", "text")
+    of_queries = model.scores(_table(spark, folder, "queries_dev"), "qid", "query_text")
+    return model.own_scores().withColumn("rec_kind", F.lit("doc")).unionByName(of_queries.withColumn("rec_kind", F.lit("query")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
