@@ -77,7 +77,7 @@ def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The five most distinctive terms of every record."""
     order = Window.partitionBy("rec_kind", "rec_id").orderBy(F.desc(F.round("score", 6)), F.asc("term"))
     best = _term_scores(spark, folder).withColumn("place", F.row_number().over(order)).where("place <= 5")
-    return best.select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"), "place")
+    return best.select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"), F.col("place").cast("bigint").alias("place"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,6 +128,32 @@ from words, total group by term, total.n
 having count(distinct doc_id) < 3 or count(distinct doc_id) > 0.3 * total.n"""
 
 
+_P2_NGRAMS = _TERMS + """,
+placed as (select doc_id, unnest(l) as term, unnest(range(len(l))) as pos from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as l from texts)),
+grams as (select doc_id, 1 as n, term as ngram from placed union all
+  select doc_id, 2, term || ' ' || next from (select doc_id, term, lead(term) over (partition by doc_id order by pos) as next from placed) where next is not null),
+counted as (select n, ngram, count(*) as n_occurrences, count(distinct doc_id) as n_records from grams group by n, ngram)
+select c.n, ngram, n_occurrences, n_records, case when n_records < 3 then 'rare' when n_records > 0.3 * total.n then 'common' end as mark from counted c, total"""
+
+_P3 = """
+with best as (select qid, run_tag, doc_id, max(score) as s from dev_run
+  where qid is not null and run_tag is not null and doc_id is not null and score is not null and not isnan(score) group by qid, run_tag, doc_id),
+placed as (select *, rank() over (partition by qid, run_tag order by s desc) + (count(*) over (partition by qid, run_tag, s) - 1) / 2.0 as place,
+  count(*) over (partition by qid, run_tag) as listed from best),
+asked as (select qid, max(listed) + 1 as behind from placed group by qid having count(distinct run_tag) >= 4),
+places as (select i.qid, i.doc_id, coalesce(p.place, behind) as place from (select distinct qid, doc_id from best) i
+  join (select distinct qid, run_tag from best) s using (qid) join asked using (qid) left join placed p on p.qid = i.qid and p.run_tag = s.run_tag and p.doc_id = i.doc_id),
+fused as (select qid, doc_id, row_number() over (partition by qid order by median(place), round(avg(place), 9), doc_id) as nth from places group by qid, doc_id)
+select qid, doc_id from fused where nth <= 3"""
+
+_P5 = """
+with texts as (select doc_id, min(text) as text from corpus where text is not null group by doc_id),
+lists as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as l from texts),
+runs as (select distinct doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) as run from lists where len(l) >= 3),
+sizes as (select doc_id, count(*) as n from runs group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from runs a join runs b using (run) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id)
+select a as doc_id_a, b as doc_id_b from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b where s.n >= 0.5 * (x.n + y.n - s.n)"""
+
 _P6 = _TERMS + """,
 tf as (select doc_id, term, count(*) as tf from words group by doc_id, term),
 held as (select term from tf group by term having count(*) between 2 and 12)
@@ -135,6 +161,19 @@ select 'doc' as rec_kind, doc_id as rec_id, term from tf join held using (term)
 union all
 select distinct 'query', qid, term from (select qid, unnest(regexp_extract_all(lower(query_text), '[a-z0-9]+')) as term from queries_dev) q join held using (term)"""
 
+_P6_SCORES = _TERMS + """,
+tf as (select doc_id, term, count(*) as tf from words group by doc_id, term),
+stats as (select term, count(*) as df, sum(tf) as f from tf group by term),
+size as (select (select n from total) as n, (select sum(f) from stats) / (select n from total)::double as mean),
+asked as (select qid, min(query_text) as text from queries_dev where query_text is not null group by qid),
+qwords as (select qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from asked),
+records as (select 'doc' as rec_kind, doc_id as rec_id, term, tf from tf union all select 'query', qid, term, count(*) from qwords group by qid, term),
+sized as (select *, sum(tf) over (partition by rec_kind, rec_id)::double as length from records),
+normal as (select rec_kind, rec_id, term, tf, df, f / n::double as rate, tf * log2(1 + mean / length) as x from sized join stats using (term), size),
+scored as (select *, (log2(1 + rate) + x * log2((1 + rate) / rate)) / (x + 1) as score from normal),
+placed as (select *, row_number() over (partition by rec_kind, rec_id order by round(score, 6) desc, term) as place from scored)
+select rec_kind, rec_id, term, tf, df, round(score, 4) as score, place from placed where place <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p6_found": _P6}
+    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_scores": _P6_SCORES}
