@@ -73,8 +73,12 @@ def index_of(spark: SparkSession, folder: str, analyzer: Analyzer = Analyzer())
 ENTRY = Analyzer(title_boost=rk.ENTRY_TITLE_BOOST)
 
 
+#: Ranks are given as the type that window functions have in SQL.
+RANK = "cast(rank as bigint) as rank"
+
+
 def _ranked(df: DataFrame) -> DataFrame:
-    return df.select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return df.selectExpr("qid", "doc_id", "round(score, 4) as score", RANK)
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -154,7 +158,7 @@ def term_rank_by_df(spark, folder):
 
 @_query
 def forward_index_top24(spark, folder):
-    return index_of(spark, folder).forward.select("ord", "term", "tf", "rank")
+    return index_of(spark, folder).forward.selectExpr("ord", "term", "tf", RANK)
 
 
 @_query
@@ -259,7 +263,7 @@ def rm3_expanded_query(spark, folder):
 @_query
 def rm3_top10(spark, folder):
     ranked = rk.rm3(topics(spark, folder), index_of(spark, folder))
-    return ranked.select("qid", "doc_id", F.round("score", 4).alias("score"), "rank", "expanded")
+    return ranked.selectExpr("qid", "doc_id", "round(score, 4) as score", RANK, "expanded")
 
 
 # Shaping and files
@@ -280,7 +284,7 @@ def trec_run_lines(spark, folder):
     """Lines of the default ranking, scores cut to the four digits on which engines agree."""
     ranked = _ranked(_bm25(spark, folder, ENTRY, rk.ENTRY_K1, rk.ENTRY_B))
     lines = files.run_lines(ranked, "tessera")
-    return lines.select("qid", "rank", F.regexp_replace("value", r"(\.\d{4})\d{2} ", "$1 ").alias("value"))
+    return lines.withColumn("value", F.regexp_replace("value", r"(\.\d{4})\d{2} ", "$1 ")).selectExpr("qid", RANK, "value")
 
 
 @_query
@@ -289,7 +293,7 @@ def trec_run_roundtrip(spark, folder):
     own = run_rows(spark, folder).where("run_tag = 'bm25-k1.5'")
     path = new_path(spark, "run")
     files.write_run(own, path, "tessera")
-    return files.read_run(spark, path).select("qid", "doc_id", "rank")
+    return files.read_run(spark, path).selectExpr("qid", "doc_id", RANK)
 
 
 @_query
@@ -327,7 +331,7 @@ for _name, _column in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr
 
 @_query
 def dedup_keep_first(spark, folder):
-    return ev.dedup_keep_first(_own_run(spark, folder))
+    return ev.dedup_keep_first(_own_run(spark, folder)).selectExpr("qid", "doc_id", RANK)
 
 
 @_query

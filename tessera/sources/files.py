@@ -67,7 +67,7 @@ def parse_run(lines: DataFrame) -> DataFrame:
 
 def run_lines(run: DataFrame, tag: str) -> DataFrame:
     """``(qid, rank, value)``: the line of every row of a run."""
-    return run.select("qid", "rank", F.format_string(f"%s Q0 %s %d %.6f {tag}", "qid", "doc_id", "rank", F.col("score").cast("double")).alias("value"))
+    return run.select("qid", "rank", F.format_string(f"%s Q0 %s %d %.6f {tag}", "qid", "doc_id", F.col("rank").cast("bigint"), F.col("score").cast("double")).alias("value"))
 
 
 def write_run(run: DataFrame, path: str, tag: str) -> None:
