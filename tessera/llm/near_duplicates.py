@@ -7,8 +7,8 @@ Candidates are neighbours within a region of common prefix.  Sorting by the
 whole sequence makes the depth adaptive: in a crowded region the nearest
 neighbours are those of the longest common prefix, in a thin one a short
 prefix is enough.  The window around a record goes on for as long as the
-neighbours remain similar by a 128-bit sketch, so a region of many copies is
-not cut off.  Candidates are then verified on the exact shingle sets.
+neighbours remain similar by a sketch of two bits of each signature value, so
+a region of many copies is not cut off and chance neighbours go no further.  Candidates are then verified on the exact shingle sets.
 
 Records of equal term sequences form a class first and only its smallest id
 enters the forest.
@@ -31,6 +31,8 @@ from tessera.scratch import written
 
 #: Signature values of a record; trees; values that a tree starts with and shares with no other.
 VALUES, TREES, OWN = 128, 40, 3
+#: Columns of the sketch: 64 values each, the first bits in two columns, the second in two.
+SKETCH = ["s1", "s2", "s3", "s4"]
 #: Neighbours compared in any case, rows held of a region that is larger than a block, rows of a block.
 WINDOW, CARRY, BLOCK_ROWS = 10, 4096, 1 << 16
 #: Classes of up to so many equal records are written out as all their pairs, larger ones as links to the smallest id.
@@ -76,7 +78,7 @@ def forest_rows(ids: pa.Array, texts: list[str], size: int, trees: int) -> pa.Re
     values, some = signatures(texts, size)
     values = values[:, some]
     low = (values & 0xFFFF).astype(np.uint64)
-    bits = np.packbits(((values >> 16) & 1).astype(np.uint8), axis=0).T.copy().view(np.int64)
+    planes = [np.packbits(((values >> bit) & 1).astype(np.uint8), axis=0).T.copy().view(np.int64) for bit in (16, 17)]
     first, second = [], []
     for tree in range(trees):
         v = [low[(OWN * tree + d) % VALUES] for d in range(7)]
@@ -85,16 +87,17 @@ def forest_rows(ids: pa.Array, texts: list[str], size: int, trees: int) -> pa.Re
     kept = ids.filter(pa.array(some))
     rows = np.tile(np.arange(len(kept)), trees)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(x).astype(np.int64)) for x in (first, second)] + [pa.array(bits[rows, i]) for i in (0, 1)] + [kept.take(pa.array(rows))],
-        names=["k1", "k2", "s1", "s2", "rec_id"],
+        [pa.array(np.concatenate(x).astype(np.int64)) for x in (first, second)] + [pa.array(plane[rows, i]) for plane in planes for i in (0, 1)] + [kept.take(pa.array(rows))],
+        names=["k1", "k2", *SKETCH, "rec_id"],
     )
 
 
-def neighbours(k1: np.ndarray, s1: np.ndarray, s2: np.ndarray, least: int, window: int = WINDOW, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(k1: np.ndarray, sketch: list[np.ndarray], least: int, window: int = WINDOW, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Places of candidate pairs among sorted rows; pairs wholly before ``begin`` are left out.
 
-    A region is a common prefix of two values; ``least`` the sketch bits that
-    must agree.
+    A region is a common prefix of two values; ``sketch`` the two words of the
+    first bit of every value and those of the second; ``least`` the values that
+    must agree in both bits.
     """
     region = k1 >> 24
     active, step, left, right = np.arange(len(k1)), 1, [], []
@@ -102,8 +105,8 @@ def neighbours(k1: np.ndarray, s1: np.ndarray, s2: np.ndarray, least: int, windo
         active = active[active + step < len(k1)]
         active = active[region[active] == region[active + step]]
         other = active + step
-        differ = [np.bitwise_count((s[active] ^ s[other]).view(np.uint64)) for s in (s1, s2)]  # unsigned: of a negative number its magnitude would be counted
-        agree = 128 - differ[0].astype(np.int64) - differ[1]
+        differ = [(x[active] ^ x[other]).view(np.uint64) for x in sketch]  # unsigned: of a negative number the magnitude's bits would be counted
+        agree = VALUES - np.bitwise_count(differ[0] | differ[2]).astype(np.int64) - np.bitwise_count(differ[1] | differ[3])
         alike = agree >= least
         found = alike & (other >= begin)
         left.append(active[found])
@@ -115,9 +118,9 @@ def neighbours(k1: np.ndarray, s1: np.ndarray, s2: np.ndarray, least: int, windo
 
 
 def _agreement(threshold: float) -> int:
-    """Sketch bits that two records of the threshold's similarity share but for one case in a thousand."""
-    p = (1 + threshold) / 2
-    return math.floor(128 * p - 3.2 * math.sqrt(128 * p * (1 - p)))
+    """Sketched values that two records of the threshold's similarity share but for one case in a thousand."""
+    p = threshold + (1 - threshold) / 4
+    return math.floor(VALUES * p - 3.2 * math.sqrt(VALUES * p * (1 - p)))
 
 
 def candidate_pairs(records: DataFrame, size: int, threshold: float, trees: int = TREES) -> DataFrame:
@@ -145,8 +148,8 @@ def candidate_pairs(records: DataFrame, size: int, threshold: float, trees: int
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, count, begin
             table = pa.Table.from_batches(held).combine_chunks()
-            k1, s1, s2 = (table[c].to_numpy() for c in ("k1", "s1", "s2"))
-            a, b = neighbours(k1, s1, s2, least, begin=begin)
+            k1, *sketch = (table[c].to_numpy() for c in ("k1", *SKETCH))
+            a, b = neighbours(k1, sketch, least, begin=begin)
             ids = table["rec_id"].combine_chunks()
             out = pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
             # Rows of the open region stay, as far as the carry goes; their pairs are not given twice.
@@ -164,7 +167,7 @@ def candidate_pairs(records: DataFrame, size: int, threshold: float, trees: int
         if held:
             yield flush(True)
 
-    forest = records.select("rec_id", "text").mapInArrow(rows, f"k1 bigint, k2 bigint, s1 bigint, s2 bigint, rec_id {kind}")
+    forest = records.select("rec_id", "text").mapInArrow(rows, f"k1 bigint, k2 bigint, {', '.join(f'{c} bigint' for c in SKETCH)}, rec_id {kind}")
     # The id is part of the range, so even a region of equal keys is cut into partitions of like size.
     order = ["k1", "k2", "rec_id"]
     found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pairs, f"a {kind}, b {kind}")
