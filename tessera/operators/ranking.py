@@ -8,6 +8,8 @@ which partial sums are added never shows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tessera.scratch import written
 
 #: Query terms (rows of query and term) of a batch that are sent to every task; a larger batch is joined by shuffle.
 BROADCAST_QUERY_TERMS = 500_000
+#: Scored postings that a task should have; more would spill while they are grouped by query and document.
+SCORED_PER_TASK = 4_000_000
 
 #: Textbook parameters, and those of the default configuration.
 K1, B = 1.2, 0.75
@@ -41,13 +45,16 @@ def matching_postings(asked: DataFrame, index: Index) -> DataFrame:
     meet the queries there.  What follows is grouped by query and document and
     needs no shuffle of its own, so the rows that multiply with the number of
     queries never move; only each partition's best do.  The number of partitions
-    is the session's, as rows multiply after the shuffle that could be coalesced.
+    follows from the rows that the join will have, known from the document
+    frequencies, and is the session's at least.
     """
     asked = written(asked, "query-terms")
+    work = asked.select("term").join(index.terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0
     if asked.count() > BROADCAST_QUERY_TERMS:
         return asked.join(index.postings, "term")
+    partitions = max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / SCORED_PER_TASK))
     held = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    by_document = held.repartition(int(index.spark.conf.get("spark.sql.shuffle.partitions")), "ord")
+    by_document = held.repartition(partitions, "ord")
     return by_document.join(F.broadcast(asked), "term")
 
 
