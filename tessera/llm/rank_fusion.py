@@ -27,9 +27,9 @@ def _ranked(best: DataFrame) -> DataFrame:
     """Mean-of-ties rank and list size, each (query, system) within one task."""
     lists = Window.partitionBy("query", "system")
     order = lists.orderBy(F.desc("score"))
-    ties = Window.partitionBy("query", "system", "score")
-    rank = F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
-    return best.select("query", "system", "item", rank.cast("double").alias("place"), F.count("*").over(lists).alias("listed"))
+    # The first and the last place of the tie; the count runs to the last row of an equal score.
+    place = (F.rank().over(order) + F.count("*").over(order)) / 2
+    return best.select("query", "system", "item", place.cast("double").alias("place"), F.count("*").over(lists).alias("listed"))
 
 
 def _ranked_in_buckets(best: DataFrame) -> DataFrame:
