@@ -10,10 +10,13 @@ subject.  Words of no subject, which link everything with everything, are
 thereby cut out of the graph.
 
 Seeds are the trusted labels: known subjects whose document also shows words of
-that subject.  They are clamped in every round.  Documents keep all subjects
-they are reached from.  In the end a document's sentences take the subject of
-their verified words, and the document every subject that a sufficient part of
-its sentences is about, so that a passing sentence makes no subject.
+that subject.  They are clamped in every round, and rounds go on until no label
+changes: the first ones settle the words, which then keep their subject while
+more words join, as words that may turn drift from the seeds.  Documents keep
+all subjects they are reached from, less those that only pass through:
+sentences take the subject of their verified words, and a subject that is no
+seed goes if no sufficient part of the sentences is about it and its words
+either stand in one sentence only or are a small part of all.
 """
 
 from __future__ import annotations
@@ -62,27 +65,42 @@ def trusted_labels(labels: DataFrame, id_col: str, subject_col: str, subjects: D
     return given.select("doc", "subject", (1 / F.count("*").over(Window.partitionBy("doc"))).alias("part"))
 
 
-def propagate(holds: DataFrame, seeds: DataFrame, rounds: int = 2) -> DataFrame:
-    """``(word, subject, share)`` after the rounds, written to the scratch folder.
+def propagate(holds: DataFrame, seeds: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(word, subject, share)`` and ``(doc, subject, part, passed, seed)`` once labels stop changing, both written.
 
-    ``holds``: distinct ``(doc, word)``; ``seeds``: ``(doc, subject, part)``.
+    ``holds``: distinct ``(doc, word)``; ``seeds``: ``(doc, subject, part)``;
+    ``rounds``: those in which a word may still change its subject.
+    The second table has every subject that a document is reached from: its part
+    of the evidence, whether that is enough to be passed on, and whether it is a
+    seed that the document bears out.
     """
     first = holds.join(seeds, "doc").groupBy("word", "subject").agg(F.sum("part").alias("weight"))
     model = written(_word_subjects(first, SEED_WEIGHT, 0.5), "words")
-    by_doc = Window.partitionBy("doc")
-    for _ in range(rounds):
+    by_doc, step, before = Window.partitionBy("doc"), 0, None
+    given = seeds.select("doc", "subject", F.lit(True).alias("given"))
+    while True:
         # From words to documents ...
         reached = holds.join(_sized(model), "word").groupBy("doc", "subject").agg(F.sum("share").alias("score"), F.count("*").alias("words"))
-        reached = reached.withColumn("part", F.col("score") / F.sum("score").over(by_doc)).withColumn("all", F.sum("words").over(by_doc))
-        reached = reached.where((F.col("all") >= 2) & (F.col("part") > PASSED))
+        reached = reached.withColumn("part", F.round(F.col("score") / F.sum("score").over(by_doc), 9)).withColumn("all", F.sum("words").over(by_doc))
+        reached = reached.withColumn("passed", (F.col("all") >= 2) & (F.col("part") > PASSED))
         # ... with the seeds clamped where their document bears them out ...
-        clamped = reached.join(seeds.select("doc", "subject", F.lit(True).alias("seed")), ["doc", "subject"], "left")
-        clamped = clamped.withColumn("seeds", F.count("seed").over(by_doc)).where((F.col("seeds") == 0) | F.col("seed"))
-        clamped = clamped.select("doc", "subject", F.when(F.col("seeds") > 0, 1 / F.col("seeds")).otherwise(F.col("part") / F.sum("part").over(by_doc)).alias("part"))
+        reached = reached.join(given, ["doc", "subject"], "left").withColumn("seed", F.col("passed") & F.col("given").isNotNull())
+        reached = written(reached.select("doc", "subject", "part", "passed", "seed"), "reached")
+        labels = reached.where("passed").withColumn("seeds", F.count_if("seed").over(by_doc)).where("seeds = 0 or seed")
+        state = tuple(labels.agg(F.count("*"), F.bit_xor(F.xxhash64("doc", "subject"))).first())
+        if step > rounds and state == before:
+            return model, reached
+        clamped = labels.select("doc", "subject", F.when(F.col("seeds") > 0, 1 / F.col("seeds")).otherwise(F.col("part") / F.sum("part").over(by_doc)).alias("part"))
         # ... and back to words.
-        again = holds.join(clamped, "doc").groupBy("word", "subject").agg(F.sum("part").alias("weight"))
-        model = written(_word_subjects(again, WEIGHT, 1.0), "words")
-    return model
+        again = _word_subjects(holds.join(clamped, "doc").groupBy("word", "subject").agg(F.sum("part").alias("weight")), WEIGHT, 1.0)
+        if step < rounds:
+            model = written(again, "words")
+        else:
+            more = written(again.join(_sized(model.select("word")), "word", "left_anti"), "words")
+            if not more.head(1):
+                return model, reached
+            model = written(model.unionByName(more), "words")
+        step, before = step + 1, state
 
 
 def document_subjects(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_subject: str, subjects: DataFrame, rounds: int = 2) -> DataFrame:
@@ -104,12 +122,15 @@ def document_subjects(docs: DataFrame, id_col: str, text_col: str, labels: DataF
     tried = tried.withColumn("held", F.sum("weight").over(by_word)).groupBy("word").agg(F.max("weight").alias("top"), F.first("held").alias("held"))
     general = written(tried.where((F.col("held") >= 8) & (F.col("top") < 0.45 * F.col("held"))).select("word"), "general-words")
     holds = written(words.join(_sized(general), "word", "left_anti"), "holds")
-    model = propagate(holds, seeds, rounds)
+    model, reached = propagate(holds, seeds, rounds)
     sentences = texts.select("doc", F.posexplode(F.split("text", r"[.!?\r\n]+")).alias("at", "sentence"))
     said = sentences.select("doc", "at", F.explode(_words(F.col("sentence"))).alias("word")).join(_sized(model), "word")
-    about = said.groupBy("doc", "at", "subject").agg(F.sum("share").alias("score"))
-    about = about.groupBy("doc", "at").agg(F.max(F.struct(F.round("score", 6), "subject")).getField("subject").alias("subject"))
-    counts = about.groupBy("doc", "subject").agg(F.count("*").alias("sentences"))
+    about = said.groupBy("doc", "at", "subject").agg(F.round(F.sum("share"), 6).alias("score"))
+    first = F.max(F.struct("score", "subject")).over(Window.partitionBy("doc", "at")).getField("subject")
+    about = about.withColumn("won", (F.col("subject") == first).cast("int"))
+    counts = about.groupBy("doc", "subject").agg(F.sum("won").alias("sentences"), F.count("*").alias("touched"))
     counts = counts.withColumn("share", F.col("sentences") / F.sum("sentences").over(Window.partitionBy("doc")))
+    # The labels are the propagated ones; sentences only take those away that pass through.
     enough = ((F.col("sentences") >= SENTENCES) & (F.col("share") >= SHARE)) | (F.col("share") >= ALONE)
-    return counts.where(enough).select(F.col("doc").alias(id_col), "subject", "sentences", "share")
+    kept = reached.join(counts, ["doc", "subject"]).where(F.col("seed") | enough | (F.col("passed") & (F.col("touched") > 1)))
+    return kept.select(F.col("doc").alias(id_col), "subject", "sentences", "share")

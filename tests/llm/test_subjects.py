@@ -72,3 +72,20 @@ def test_a_wrong_label_is_outvoted(spark):
     labels = [(i, s) for i in range(60) for s in truth[i] if i != only_food] + [(only_food, "music")]
     got = found(spark, spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), labels)
     assert got[only_food] == {"food"}
+
+
+def test_a_trusted_second_subject_of_one_sentence_stays_and_a_passing_one_goes(spark):
+    rng = random.Random(5)
+    texts, truth = collection()
+    labels = [(i, s) for i in range(60) for s in truth[i]] + [(500, "law"), (500, "music")]
+    texts[500] = " ".join(sentence(rng, a) for a in ("law", "music", "law"))
+    texts[501] = " ".join(sentence(rng, a) for a in ("law", "law", "law", "law", "law", "music"))
+    got = found(spark, spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), labels)
+    assert got[500] == {"law", "music"} and got[501] == {"law"}
+
+
+def test_labels_go_on_until_none_changes(spark):
+    words = [[f"{a}{b}{c}" for c in "xyz"] for a, b in zip("abcdefghij", "klmnopqrst", strict=True)]
+    texts = {10 * level + i: " ".join(words[level] + words[level + 1]) for level in range(8) for i in range(6)}
+    got = found(spark, spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), [(i, "law") for i in range(6)])
+    assert got == dict.fromkeys(texts, {"law"})
