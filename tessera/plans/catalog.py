@@ -9,6 +9,7 @@ topic, system, document and score.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -339,6 +340,62 @@ def evaluate_run_aggregate(spark, folder):
     return _means(ev.evaluate_run(_own_run(spark, folder), judgments(spark, folder)))
 
 
+# The same for every system, not only for the one that the queries above name.
+
+SYSTEM = ("run_tag",)
+
+
+def _all_runs(spark, folder):
+    return run_rows(spark, folder).select("run_tag", "qid", "doc_id", "rank")
+
+
+def _system_metric(name: str, column: str) -> None:
+    def f(spark, folder):
+        per = ev.per_query_metrics(_all_runs(spark, folder), judgments(spark, folder), by=SYSTEM)
+        return per.select("run_tag", "qid", F.round(column, 6).alias(column))
+
+    QUERIES[f"{name}_by_system"] = f
+
+
+for _name, _column in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
+    _system_metric(_name, _column)
+
+
+@_query
+def dedup_keep_first_by_system(spark, folder):
+    return ev.dedup_keep_first(_all_runs(spark, folder), SYSTEM).selectExpr("run_tag", "qid", "doc_id", RANK)
+
+
+@_query
+def evaluate_run_aggregate_by_system(spark, folder):
+    return _means(ev.evaluate_run(_all_runs(spark, folder), judgments(spark, folder), by=SYSTEM))
+
+
+@_query
+def trec_run_roundtrip_by_system(spark, folder):
+    """Every system's rows written as a run file of its own and read again."""
+    rows = written(run_rows(spark, folder), "runs")
+    systems = sorted(r.run_tag for r in rows.select("run_tag").distinct().collect())
+    read = []
+    for tag in systems:
+        path = new_path(spark, "run")
+        files.write_run(rows.where(F.col("run_tag") == tag), path, "tessera")
+        read.append(files.read_run(spark, path).select(F.lit(tag).alias("run_tag"), "qid", "doc_id", F.expr(RANK)))
+    return reduce(DataFrame.unionByName, read) if read else rows.select("run_tag", "qid", "doc_id", F.expr(RANK))
+
+
+@_query
+def run_report_by_system(spark, folder):
+    """A JSON report of every system's run."""
+    runs, qrels = written(_all_runs(spark, folder), "runs"), judgments(spark, folder)
+    per = written(ev.per_query_metrics(runs, qrels, by=SYSTEM), "per-query")
+    reports = []
+    for tag in sorted(r.run_tag for r in runs.select("run_tag").distinct().collect()):
+        own = per.where(F.col("run_tag") == tag).drop("run_tag")
+        reports.append(files.report(ev.aggregate_metrics(own), own).select(F.lit(tag).alias("run_tag"), "value"))
+    return reduce(DataFrame.unionByName, reports) if reports else runs.select("run_tag", F.lit("").alias("value"))
+
+
 @_query
 def skipped_no_qrels(spark, folder):
     return ev.skipped_queries(topics(spark, folder), judgments(spark, folder))

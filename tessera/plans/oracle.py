@@ -269,4 +269,10 @@ def oracle_sql() -> dict[str, str]:
     }
     for name, metric in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
         sql[name] = _sql(measured, f"select qid, round({metric}, 6) as {metric} from m")
+    each = [_QRELS, _RUN, "runs as (select run_tag, qid, doc_id, rank from given)", *_measured("m", "runs", "run_tag")]
+    for name, metric in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
+        sql[f"{name}_by_system"] = _sql(each, f"select run_tag, qid, round({metric}, 6) as {metric} from m")
+    sql["dedup_keep_first_by_system"] = _sql(each, "select run_tag, qid, doc_id, rank from m_one")
+    sql["evaluate_run_aggregate_by_system"] = _sql(each, f"select run_tag, {_MEANS} from m group by run_tag")
+    sql["trec_run_roundtrip_by_system"] = _sql([_RUN], "select run_tag, qid, doc_id, row_number() over (partition by run_tag, qid order by round(score, 6) desc, rank) as rank from given")
     return sql

@@ -45,3 +45,14 @@ def test_the_others_run(spark, tables, name):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if n.endswith("_by_system")))
+def test_every_system_comes_out(spark, tables, name):
+    systems = {r.run_tag for r in catalog.run_rows(spark, tables).select("run_tag").distinct().collect()}
+    assert len(systems) > 1 and {r.run_tag for r in catalog.queries()[name](spark, tables).select("run_tag").distinct().collect()} == systems
+
+
+def test_queries_of_one_system_have_one_for_all_systems():
+    names = ["ndcg_at_10", "map_at_10", "mrr", "precision_at_10", "dedup_keep_first", "evaluate_run_aggregate", "run_report", "trec_run_roundtrip"]
+    assert {f"{n}_by_system" for n in names} <= set(catalog.queries())
