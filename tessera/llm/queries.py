@@ -80,6 +80,11 @@ def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"), F.col("place").cast("bigint").alias("place"))
 
 
+def p6_all_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term of every record with its score."""
+    return _term_scores(spark, folder).select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -106,7 +111,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p6_found, p6_scores, p7_ids, p8_containers, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p6_found, p6_scores, p6_all_scores, p7_ids, p8_containers, p9_found, p9_composition)}
 
 
 _P1 = """
@@ -174,6 +179,9 @@ scored as (select *, (log2(1 + rate) + x * log2((1 + rate) / rate)) / (x + 1) as
 placed as (select *, row_number() over (partition by rec_kind, rec_id order by round(score, 6) desc, term) as place from scored)
 select rec_kind, rec_id, term, tf, df, round(score, 4) as score, place from placed where place <= 5"""
 
+#: The same without the cut at five.
+_P6_ALL_SCORES = _P6_SCORES.replace("rec_kind, rec_id, term, tf, df, round(score, 4) as score, place from placed where place <= 5", "rec_kind, rec_id, term, tf, df, round(score, 4) as score from scored")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_scores": _P6_SCORES}
+    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_scores": _P6_SCORES, "p6_all_scores": _P6_ALL_SCORES}

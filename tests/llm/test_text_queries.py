@@ -34,3 +34,8 @@ def test_query(spark, tables, engine, name):
 )
 def test_columns(spark, tables, name, columns):
     assert q.queries()[name](spark, tables).columns == columns
+
+
+def test_all_scores_go_beyond_five_terms(spark, tables):
+    counts = [r["count"] for r in q.queries()["p6_all_scores"](spark, tables).groupBy("rec_kind", "rec_id").count().collect()]
+    assert max(counts) > 5
