@@ -7,10 +7,10 @@ of any stem is the number of ``vc`` in the shape before the suffix.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import Column
 
 #: Suffixes and what replaces them if the stem's measure is above 0.
 STEP_2 = {
@@ -90,10 +90,9 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and shape(w).count("vc") > 1 else w
 
 
-def _stem_series(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
-
-
 def stem_column(words: Column | str) -> Column:
     """Stems of a column of distinct words; meant for a vocabulary, not for every occurrence."""
-    return F.pandas_udf(_stem_series, T.StringType())(words)
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    return F.pandas_udf(lambda w: w.map(stem, na_action="ignore"), T.StringType(), F.PandasUDFType.SCALAR)(words)

@@ -1,18 +1,24 @@
-"""From texts to counted index terms, set at a time."""
+"""From texts to counted index terms, one row per text and without a shuffle.
+
+Tokens are found in the JVM.  Stems come from Arrow batches: a batch's tokens
+are dictionary-encoded, so Python stems each distinct word of a batch once, and
+the counts of a text are made in the same pass.  No vocabulary is collected or
+joined, so a token that every text holds is no hot key.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.porter import stem_column
+from tessera.functions.counting import terms_counted, terms_in_order
 from tessera.functions.text import STOPWORDS, boost_title, tokenize
 
-#: A vocabulary of up to so many tokens is sent to every task; a larger one is joined by shuffle.
-BROADCAST_TOKENS = 500_000
-
 
 @dataclass(frozen=True)
 class Analyzer:
@@ -29,41 +35,41 @@ class Analyzer:
         return F.filter(found, lambda t: ~t.isin(STOPWORDS)) if self.remove_stopwords else found
 
 
-def stem_map(tokens: DataFrame) -> DataFrame:
-    """``(token, term)`` of the distinct values of a column ``token``; Python sees each word once."""
-    return tokens.select("token").distinct().select("token", stem_column("token").alias("term"))
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores, spread over the cores; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
+def _mapped(df: DataFrame, keys: list[str], tokens: Column, make: Callable, stemming: bool, fields: list[T.StructField]) -> DataFrame:
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keys), *fields])
 
-def with_terms(counted: DataFrame, stemming: bool, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Replace the column ``token`` by ``term``."""
-    if not stemming:
-        return counted.withColumnRenamed("token", "term")
-    mapping = vocabulary if vocabulary is not None else stem_map(counted)
-    return counted.join(mapping, "token").drop("token")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch, stemming)], names=schema.names)
+
+    return df.select(*keys, tokens.alias("tokens")).mapInArrow(run, schema)
 
 
 def analyze(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = Analyzer(), of_document: bool = True) -> DataFrame:
     """``(id, pos, term)`` of every occurrence, in order of ``pos`` from 0."""
-    tokens = df.select(id_col, F.posexplode(analyzer.tokens(F.col(text_col), of_document)).alias("pos", "token"))
-    return with_terms(tokens, analyzer.stemming).select(id_col, "pos", "term")
+    fields = [T.StructField("terms", T.ArrayType(T.StringType()))]
+    listed = _mapped(df, [id_col], analyzer.tokens(F.col(text_col), of_document), terms_in_order, analyzer.stemming, fields)
+    return listed.select(id_col, F.posexplode("terms").alias("pos", "term"))
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer, of_document: bool = True) -> DataFrame:
-    """``(id, token, tf, first_pos)``: tokens counted per text before any stemming.
+def counted_terms(df: DataFrame, keys: list[str], text_col: str, analyzer: Analyzer, of_document: bool = True) -> DataFrame:
+    """``keys``, ``dl`` and ``terms``: length of each text and its terms with their counts.
 
-    The texts move once, by id; counting tokens and then stems needs no other shuffle.
+    One row per text; terms come by descending count, ties to the one that
+    occurs first.  A text is never moved, and neither are its terms.
     """
-    tokens = df.select(id_col, text_col).repartition(id_col).select(id_col, F.posexplode(analyzer.tokens(F.col(text_col), of_document)).alias("pos", "token"))
-    return tokens.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
-
-
-def stemmed_counts(counted: DataFrame, id_col: str, stemming: bool, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(id, term, tf, first_pos)``: counts of tokens of one stem add up."""
-    terms = with_terms(counted, stemming, vocabulary)
-    return terms.groupBy(id_col, "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos")) if stemming else terms
+    held = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    fields = [T.StructField("dl", T.LongType()), T.StructField("terms", T.ArrayType(held))]
+    return _mapped(df, keys, analyzer.tokens(F.col(text_col), of_document), terms_counted, analyzer.stemming, fields)
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """``(qid, term, qtf)`` from ``(qid, text)``; queries without a term have no row."""
-    counted = token_counts(queries, "qid", "text", analyzer, of_document=False)
-    return stemmed_counts(counted, "qid", analyzer.stemming).select("qid", "term", F.col("tf").alias("qtf"))
+    """``(qid, term, qtf)`` from ``(qid, text)``; queries without a term have no row, rows of one qid add up."""
+    each = counted_terms(queries, ["qid"], "text", analyzer, of_document=False).select("qid", F.explode("terms").alias("t"))
+    return each.groupBy("qid", F.col("t.term").alias("term")).agg(F.sum("t.tf").alias("qtf"))

@@ -9,16 +9,17 @@ which partial sums are added never shows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.index import Index
+from tessera.operators.index import Index, term_bucket, vsm_idf
 from tessera.scratch import written
 
-#: Query terms (rows of query and term) of a batch that are sent to every task; a larger batch is joined by shuffle.
-BROADCAST_QUERY_TERMS = 500_000
-#: Scored postings that a task should have; more would spill while they are grouped by query and document.
+#: Query terms (rows of query and term) that are sent to every task at a time, and rows up to which terms become a filter.
+BROADCAST_QUERY_TERMS, FEW_QUERY_TERMS = 500_000, 64
+#: Scored postings that a task should have at a time; more would spill while they are grouped by query and document.
 SCORED_PER_TASK = 4_000_000
 
 #: Textbook parameters, and those of the default configuration.
@@ -33,29 +34,46 @@ def top_k(scored: DataFrame, index: Index, k: int, by: tuple[str, ...] = ("qid",
     The rank limit runs before the shuffle as well, so a query that matches
     everything sends ``k`` rows per task.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 6)), F.asc("ord"))
+    # Millionths as a whole number: what rounding to six digits orders by, without a decimal per row.
+    order = Window.partitionBy(*by).orderBy(F.desc((F.col("score") * 1e6 + 0.5).cast("bigint")), F.asc("ord"))
     best = scored.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.join(index.docs.select("ord", "doc_id"), "ord").select(*by, "ord", "doc_id", "score", "rank")
 
 
-def matching_postings(asked: DataFrame, index: Index) -> DataFrame:
-    """Postings joined with the query terms ``(..., term, ...)`` of a batch.
+def known_terms(asked: DataFrame, index: Index) -> DataFrame:
+    """Query terms ``(..., term, ...)`` that the collection holds, with ``df``."""
+    return asked if "df" in asked.columns else asked.join(index.terms.select("term", "df"), "term")
 
-    The postings of any asked term move once, to partitions by document, and
-    meet the queries there.  What follows is grouped by query and document and
-    needs no shuffle of its own, so the rows that multiply with the number of
-    queries never move; only each partition's best do.  The number of partitions
-    follows from the rows that the join will have, known from the document
-    frequencies, and is the session's at least.
+
+def matching_postings(asked: DataFrame, index: Index, *parts: Column) -> DataFrame:
+    """Postings joined with the query terms ``(qid, ..., term, ...)`` of a batch: ``ord``, ``parts``, columns of ``asked``.
+
+    ``parts`` are columns over ``tf``, ``dl`` and ``df``, computed once per
+    posting and not once per posting and query.
+
+    Only the buckets that hold an asked term are read; a batch of few rows
+    filters by its terms as well.  Postings are stored divided by document, so
+    they stay where they are read, the queries are sent to them, and what is
+    grouped by query and document needs no shuffle: the rows that multiply with
+    the number of queries never move, only each division's best do.
+
+    One job prepares a batch: it writes the query terms and counts them, the
+    postings that they will meet and the buckets that they are in.  A batch of
+    more rows than are to be sent, or of more work than the divisions' tasks
+    should have, goes through in slices of queries.
     """
-    asked = written(asked, "query-terms")
-    work = asked.select("term").join(index.terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0
-    if asked.count() > BROADCAST_QUERY_TERMS:
-        return asked.join(index.postings, "term")
-    partitions = max(int(index.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / SCORED_PER_TASK))
-    held = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    by_document = held.repartition(partitions, "ord")
-    return by_document.join(F.broadcast(asked), "term")
+    sizes = Observation()
+    places = F.call_function("shiftleft", F.lit(1).cast("bigint"), term_bucket(F.col("term"), index.buckets))
+    known = known_terms(asked, index).observe(sizes, F.count(F.lit(1)).alias("rows"), F.sum("df").alias("work"), F.bit_or(places).alias("buckets"))
+    known = written(known, "query-terms").drop("df")
+    rows, work, held = (sizes.get[c] or 0 for c in ("rows", "work", "buckets"))
+    postings = index.postings.where(F.col("bucket").isin([b for b in range(index.buckets) if held >> b & 1])).drop("bucket")
+    if rows <= FEW_QUERY_TERMS:
+        postings = postings.where(F.col("term").isin([r.term for r in known.select("term").distinct().collect()]))
+    postings = postings.select("term", "ord", *parts)
+    slices = max(1, math.ceil(rows / BROADCAST_QUERY_TERMS), math.ceil(work / index.divisions / SCORED_PER_TASK))
+    place = F.pmod(F.xxhash64("qid"), F.lit(slices))
+    return reduce(DataFrame.unionByName, (postings.join(F.broadcast(known.where(place == i) if slices > 1 else known), "term").drop("term") for i in range(slices)))
 
 
 # Boolean
@@ -69,44 +87,35 @@ def boolean_search(queries: DataFrame, index: Index, mode: str = "and") -> DataF
     """
     if mode.lower() not in ("and", "or"):
         raise ValueError(f"mode {mode!r} is neither 'and' nor 'or'")
-    asked = index.analyzed(queries).select("qid", "term")
+    asked = index.analyzed(queries).select("qid", "term", F.count("*").over(Window.partitionBy("qid")).alias("needed"))
     hits = matching_postings(asked, index)
     if mode.lower() == "or":
         return hits.select("qid", "ord").distinct()
-    needed = asked.groupBy("qid").agg(F.count("*").alias("needed"))
-    held = hits.groupBy("qid", "ord").agg(F.count("*").alias("held"))
-    return held.join(needed, "qid").where("held = needed").select("qid", "ord")
+    held = hits.groupBy("qid", "ord").agg(F.count("*").alias("held"), F.first("needed").alias("needed"))
+    return held.where("held = needed").select("qid", "ord")
 
 
 # Vector space
 
 
-def _vsm_idf(index: Index) -> Column:
-    return F.log10(F.lit(float(index.n_docs)) / F.greatest(F.col("df"), F.lit(1)))
-
-
 def vsm_norms(index: Index) -> DataFrame:
-    """``(ord, norm)``: length of every document's (1 + log10 tf) idf vector; 1 where that is 0."""
-    weighted = index.postings.join(index.terms.select("term", _vsm_idf(index).alias("idf")), "term")
-    square = F.pow((1 + F.log10("tf")) * F.col("idf"), F.lit(2.0))
-    norms = weighted.groupBy("ord").agg(F.sqrt(F.sum(square)).alias("norm"))
-    norms = index.docs.select("ord").join(norms, "ord", "left")
-    return norms.select("ord", F.when(F.coalesce("norm", F.lit(0.0)) > 0, F.col("norm")).otherwise(1.0).alias("norm"))
+    """``(ord, norm)``: length of every document's (1 + log10 tf) idf vector, made with the index; 1 where that is 0."""
+    return index.docs.select("ord", "norm")
 
 
-def vsm_scores(queries: DataFrame, index: Index, norms: DataFrame | None = None) -> DataFrame:
+def vsm_scores(queries: DataFrame, index: Index) -> DataFrame:
     """Cosine of query and document, both weighted by (1 + log tf) idf.
 
     The query's length counts terms of the collection only; where it is 0 the
     query has no row.
     """
-    asked = index.analyzed(queries).join(index.terms, "term").withColumn("idf", _vsm_idf(index))
+    asked = known_terms(index.analyzed(queries), index).withColumn("idf", vsm_idf(index.n_docs))
     asked = asked.withColumn("qw", (1 + F.log10("qtf")) * F.col("idf"))
     asked = asked.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("qid")))).where("qn > 0")
-    hits = matching_postings(asked.select("qid", "term", "idf", "qw", "qn"), index)
-    dots = hits.groupBy("qid", "ord").agg(F.sum(F.col("qw") * (1 + F.log10("tf")) * F.col("idf")).alias("dot"), F.first("qn").alias("qn"))
-    joined = dots.join(norms if norms is not None else vsm_norms(index), "ord")
-    return joined.select("qid", "ord", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
+    asked = asked.select("qid", "term", "df", (F.col("qw") * F.col("idf")).alias("w"), "qn")
+    hits = matching_postings(asked, index, (1 + F.log10("tf")).alias("part"))
+    dots = hits.groupBy("qid", "ord").agg(F.sum(F.col("w") * F.col("part")).alias("dot"), F.first("qn").alias("qn"))
+    return dots.join(vsm_norms(index), "ord").select("qid", "ord", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
 
 
 # BM25
@@ -125,23 +134,24 @@ def bm25_saturation(index: Index, k1: Column | float, b: Column | float) -> Colu
 
 def bm25_impacts(index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """``(term, ord, impact)``: each posting's weight for a query weight of 1."""
-    joined = index.postings.join(index.terms.select("term", "df"), "term")
-    return joined.select("term", "ord", (bm25_idf(index) * bm25_saturation(index, k1, b)).alias("impact"))
+    return index.postings.select("term", "ord", (bm25_idf(index) * bm25_saturation(index, k1, b)).alias("impact"))
 
 
 def query_weights(queries: DataFrame, index: Index) -> DataFrame:
-    """``(qid, term, weight)``: counts in the query, of terms that the collection holds."""
-    return index.analyzed(queries).join(index.terms.select("term"), "term", "left_semi").select("qid", "term", F.col("qtf").cast("double").alias("weight"))
+    """``(qid, term, weight, df)``: counts in the query, of terms that the collection holds."""
+    return known_terms(index.analyzed(queries), index).select("qid", "term", F.col("qtf").cast("double").alias("weight"), "df")
 
 
-def bm25_scores(weights: DataFrame, index: Index, k1: float = K1, b: float = B, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """Scores of weighted queries ``(qid, term, weight)``; weights up to 0 are skipped.
+def weighted(weights: DataFrame, index: Index, *keys: str) -> DataFrame:
+    """``(keys, term, df, w)``: known terms, their weights times idf."""
+    return known_terms(weights, index).select(*keys, "term", "df", (F.col("weight") * bm25_idf(index)).alias("w"))
 
-    One join by term and one aggregate; the idf joins the few query terms, not the postings.
-    """
-    asked = weights.where("weight > 0").join(index.terms.select("term", bm25_idf(index).alias("idf")), "term")
-    hits = matching_postings(asked, index)
-    return hits.groupBy(*by, "ord").agg(F.sum(F.col("weight") * F.col("idf") * bm25_saturation(index, k1, b)).alias("score"))
+
+def bm25_scores(weights: DataFrame, index: Index, k1: float = K1, b: float = B, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Scores of weighted queries ``(qid, term, weight)``; weights up to 0 are skipped."""
+    asked = weighted(weights.where("weight > 0"), index, *by)
+    hits = matching_postings(asked, index, bm25_saturation(index, k1, b).alias("part"))
+    return hits.groupBy(*by, "ord").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
@@ -159,7 +169,7 @@ def feedback_weights(first_pass: DataFrame, index: Index, fb_docs: int = FB_DOCS
 
 def relevance_model(feedback: DataFrame, index: Index) -> DataFrame:
     """``(qid, term, weight)``: the sum of p tf / dl over the kept terms of the feedback documents."""
-    held = feedback.join(index.forward, "ord")
+    held = feedback.join(index.lists, "ord").select("qid", "p", "dl", F.explode("terms").alias("t")).select("qid", "p", "dl", "t.*")
     return held.groupBy("qid", "term").agg(F.sum(F.col("p") * F.col("tf") / F.col("dl")).alias("weight"))
 
 
@@ -198,7 +208,7 @@ def rm3(
     A query that has nothing to expand with keeps its first-pass ranking, whose
     scores are on another scale; ``expanded`` tells them apart.
     """
-    weights = query_weights(queries, index)
+    weights = written(query_weights(queries, index), "weights")
     first = bm25_scores(weights, index, k1, b)
     kept = expansion_terms(relevance_model(feedback_weights(first, index, fb_docs), index), index, fb_terms, min_idf)
     by = ("qid", "expanded")

@@ -19,8 +19,8 @@ from tessera.functions.text import boost_title, tokenize
 from tessera.operators import codec
 from tessera.operators import evaluation as ev
 from tessera.operators import ranking as rk
-from tessera.operators.analysis import Analyzer, analyze
-from tessera.operators.index import Index, build_index
+from tessera.operators.analysis import Analyzer, analyze, spread
+from tessera.operators.index import Index, build_index, first_rows
 from tessera.plans import experiments as ex
 from tessera.scratch import new_path, written
 from tessera.sources import files
@@ -67,7 +67,8 @@ def index_of(spark: SparkSession, folder: str, analyzer: Analyzer = Analyzer())
     """The index of the collection, built once per session, folder and analyzer."""
     key = (spark.sparkContext.applicationId, folder, analyzer)
     if key not in _indexes:
-        _indexes[key] = build_index(collection(spark, folder), analyzer)
+        rows = first_rows(spread(_read(spark, folder, "corpus").select("ord", "doc_id", "text")), "doc_id", "ord")
+        _indexes[key] = build_index(rows, analyzer)
     return _indexes[key]
 
 
