@@ -3,15 +3,20 @@
 Every record gets a min-hash signature of its word shingles.  Each tree of the
 forest is one order of the records by a different sequence of signature values;
 records that share most of their shingles tend to share a long prefix there.
-Candidates are neighbours within a region of common prefix.  Sorting by the
-whole sequence makes the depth adaptive: in a crowded region the nearest
-neighbours are those of the longest common prefix, in a thin one a short
-prefix is enough.  The window around a record goes on for as long as the
-neighbours remain similar by a sketch of two bits of each signature value, so
-a region of many copies is not cut off and chance neighbours go no further.  Candidates are then verified on the exact shingle sets.
-
-Records of equal term sequences form a class first and only its smallest id
-enters the forest.
+Candidates are neighbours within a region of common prefix, and how deep a
+region is depends on how crowded it is: in a region of up to ``ROOM`` records
+two common values are enough and all its records are candidates of each other,
+in a larger one only the neighbours of the longest common prefix are.
+
+What a crowded region leaves out is not lost.  Its records take part in an exact
+join as well, by the rarest of their shingles: two records of the wanted
+similarity must share one of so many that a short prefix of each record's
+shingles, those that many records hold coming last, finds them.  Boilerplate
+that crowds a region therefore joins nothing by itself.
+
+Candidates whose sketches (two bits of every signature value) differ too much are
+dropped, all others are verified on the shingle sets.  Records of equal term
+sequences form a class first and only one of its members enters the forest.
 """
 
 from __future__ import annotations
@@ -20,221 +25,300 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.records import TERM_RE, one_per_record, terms_column
+from tessera.llm.records import one_per_record, terms_column
 from tessera.scratch import written
 
-#: Signature values of a record; trees; values that a tree starts with and shares with no other.
-VALUES, TREES, OWN = 128, 40, 3
-#: Columns of the sketch: 64 values each, the first bits in two columns, the second in two.
+#: Signature values of a record; trees; values that a tree starts with and shares with no other; it sorts by one more.
+VALUES, TREES, OWN = 128, 32, 3
+#: Columns of the sketch: 64 values each, one bit in the first two columns, another in the others.
 SKETCH = ["s1", "s2", "s3", "s4"]
-#: Neighbours compared in any case, rows held of a region that is larger than a block, rows of a block.
-WINDOW, CARRY, BLOCK_ROWS = 10, 4096, 1 << 16
+#: Records of a region that are all compared with each other, and neighbours compared in a larger one.
+ROOM, WINDOW = 128, 8
 #: Classes of up to so many equal records are written out as all their pairs, larger ones as links to the smallest id.
 EXPAND = 64
+#: A shingle that more crowded records hold is a common one; there are at most so many of them (8 bytes each go to every task).
+COMMON_FROM, COMMON_MOST = 1000, 200_000
 SALT = 16
+#: What a row of the pass over the forest tells: a candidate, a crowded record, a record or a crowded part of a cut region.
+CANDIDATE, CROWDED, CUT, CUT_CROWDED = range(4)
 _SEEDS = np.random.default_rng(20240301).integers(1, 1 << 63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the runs of ``size`` terms of all texts, and how many each text has."""
-    each = [TERM_RE.findall(t.lower()) for t in texts]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    counts = np.maximum(sizes - size + 1, 0)
-    words = [w for ws in each for w in ws]
-    if not words:
-        return np.zeros(0, np.uint64), counts
-    code, names = pd.factorize(np.array(words, dtype=object))
-    term = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))[code]
-    starts = np.cumsum(sizes) - sizes
-    at = np.repeat(starts, counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-    mixed = np.zeros(len(at), np.uint64)
-    for d in range(size):
-        mixed = (mixed ^ term[at + d]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed, counts
-
-
-def signatures(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Min-hash values (values x texts) and which texts have any shingle."""
-    hashes, counts = shingle_hashes(texts, size)
-    some = counts > 0
-    starts = (np.cumsum(counts) - counts)[some]
-    out = np.zeros((VALUES, len(texts)), np.uint32)
-    if some.any():
-        for i in range(VALUES):
-            value = ((hashes * _SEEDS[0, i] + _SEEDS[1, i]) >> np.uint64(32)).astype(np.uint32)
-            out[i, some] = np.minimum.reduceat(value, starts)
-    return out, some
-
-
-def forest_rows(ids: pa.Array, texts: list[str], size: int, trees: int) -> pa.RecordBatch:
-    """One row per tree and record: sort keys, sketch, id."""
-    values, some = signatures(texts, size)
-    values = values[:, some]
-    low = (values & 0xFFFF).astype(np.uint64)
-    planes = [np.packbits(((values >> bit) & 1).astype(np.uint8), axis=0).T.copy().view(np.int64) for bit in (16, 17)]
-    first, second = [], []
+def shingles(words: Column, size: int) -> Column:
+    """Distinct 64-bit hashes of the runs of ``size`` terms of an array of at least so many."""
+    starts = F.sequence(F.lit(0), F.size(words) - size)
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + d) for d in range(size)))))
+
+
+def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Low 16 bits of the min-hash values (records x values) of records whose shingles begin at ``starts``."""
+    out = np.zeros((len(starts), VALUES), np.uint16)
+    for i in range(VALUES):
+        mixed = ((hashes * _SEEDS[0, i] + _SEEDS[1, i]) >> np.uint64(32)).astype(np.uint32)
+        out[:, i] = np.minimum.reduceat(mixed, starts)
+    return out
+
+
+def _shingle_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records' numbers, all their shingles and where each record's begin, of a batch ``(num, shingles)``."""
+    sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return batch.column(0).to_numpy(), hashes, np.cumsum(sizes) - sizes
+
+
+def signature_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Number, signature and sketch (the last two bits of each value) of every record."""
+    num, hashes, starts = _shingle_lists(batch)
+    v = signatures(hashes, starts)
+    planes = [np.packbits(((v >> bit) & 1).astype(np.uint8), axis=1).view(np.int64) for bit in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(num), pa.array([r.tobytes() for r in v], pa.binary()), *(pa.array(p[:, i].copy()) for p in planes for i in (0, 1))], names=["num", "v", *SKETCH])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), 1000):
+            yield signature_rows(batch.slice(i, 1000))
+
+
+def forest_rows(batch: pa.RecordBatch, trees: int) -> pa.RecordBatch:
+    """One row per tree and record: its sort key of tree and leading values, and its number."""
+    num = batch.column(0).to_numpy()
+    v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(num), VALUES).astype(np.uint64)
+    keys = []
     for tree in range(trees):
-        v = [low[(OWN * tree + d) % VALUES] for d in range(7)]
-        first.append((np.uint64(tree) << np.uint64(56)) | v[0] << np.uint64(40) | v[1] << np.uint64(24) | v[2] << np.uint64(8) | v[3] >> np.uint64(8))
-        second.append((v[3] & np.uint64(0xFF)) << np.uint64(48) | v[4] << np.uint64(32) | v[5] << np.uint64(16) | v[6])
-    kept = ids.filter(pa.array(some))
-    rows = np.tile(np.arange(len(kept)), trees)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(x).astype(np.int64)) for x in (first, second)] + [pa.array(plane[rows, i]) for plane in planes for i in (0, 1)] + [kept.take(pa.array(rows))],
-        names=["k1", "k2", *SKETCH, "rec_id"],
-    )
-
-
-def neighbours(k1: np.ndarray, sketch: list[np.ndarray], least: int, window: int = WINDOW, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places of candidate pairs among sorted rows; pairs wholly before ``begin`` are left out.
-
-    A region is a common prefix of two values; ``sketch`` the two words of the
-    first bit of every value and those of the second; ``least`` the values that
-    must agree in both bits.
+        a, b, c, d = (v[:, (OWN * tree + i) % VALUES] for i in range(4))
+        keys.append((np.uint64(tree) << np.uint64(56)) | a << np.uint64(40) | b << np.uint64(24) | c << np.uint64(8) | d >> np.uint64(8))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.tile(num, trees))], names=["key", "num"])
+
+
+class Regions:
+    """Candidates among rows that come in order of key, block by block; holds no more than a block and an open region.
+
+    A region is a common tree and two common values.  With ``cut`` the first and
+    the last region may go on in other tasks and are passed on as they are.
     """
-    region = k1 >> 24
-    active, step, left, right = np.arange(len(k1)), 1, [], []
-    while len(active):
-        active = active[active + step < len(k1)]
-        active = active[region[active] == region[active + step]]
-        other = active + step
-        differ = [(x[active] ^ x[other]).view(np.uint64) for x in sketch]  # unsigned: of a negative number the magnitude's bits would be counted
-        agree = VALUES - np.bitwise_count(differ[0] | differ[2]).astype(np.int64) - np.bitwise_count(differ[1] | differ[3])
-        alike = agree >= least
-        found = alike & (other >= begin)
-        left.append(active[found])
-        right.append(other[found])
-        if step >= window:
-            active = active[alike]
-        step += 1
-    return np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
-
-
-def _agreement(threshold: float) -> int:
-    """Sketched values that two records of the threshold's similarity share but for one case in a thousand."""
-    p = threshold + (1 - threshold) / 4
-    return math.floor(VALUES * p - 3.2 * math.sqrt(VALUES * p * (1 - p)))
 
+    def __init__(self, cut: bool, room: int = ROOM, window: int = WINDOW):
+        self.cut, self.room, self.window = cut, room, window
+        self.key, self.num, self.marked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.told = 0  # rows held that were told to be crowded before; only ever of a crowded open region
+        self.first: int | None = None
+
+    def add(self, key: np.ndarray, num: np.ndarray, marked: np.ndarray, last: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(kind, a, b)`` arrays of what is known with these rows; ``marked``: rows that only tell that their region is crowded."""
+        key, num, marked = np.concatenate([self.key, key]), np.concatenate([self.num, num]), np.concatenate([self.marked, marked])
+        if not len(key):
+            return []
+        region = key >> 24
+        if self.first is None:
+            self.first = int(region[0])
+        begin = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        sizes = np.diff(np.r_[begin, len(key)])
+        crowded = (sizes > self.room) | np.logical_or.reduceat(marked, begin)
+        crowded[0] |= self.told > 0
+        # The open region waits for its end unless it is known to be crowded.
+        wait = 0 if last or crowded[-1] else int(sizes[-1])
+        ready = len(key) - wait
+        of = np.repeat(np.arange(len(begin)), sizes)[:ready]
+        cut = np.zeros(len(begin), bool)
+        if self.cut:
+            cut[0] = int(region[0]) == self.first
+            cut[-1] |= last
+        out = []
+        fresh = np.arange(ready) >= self.told
+        real = ~marked[:ready]
+        passed = cut[of] & ~crowded[of]
+        if passed.any():
+            out.append((np.full(passed.sum(), CUT), num[:ready][passed], key[:ready][passed]))
+        known = crowded[of] & fresh & real
+        if known.any():
+            out.append((np.full(known.sum(), CROWDED), num[:ready][known], num[:ready][known]))
+        for i in np.flatnonzero(cut & crowded):
+            out.append((np.array([CUT_CROWDED]), num[begin[i] : begin[i] + 1], key[begin[i] : begin[i] + 1]))
+        reach = np.where(crowded[of], self.window, np.where(cut[of], 0, self.room))
+        active, step = np.flatnonzero(real & (reach > 0)), 1
+        while len(active):
+            active = active[(reach[active] >= step) & (active + step < ready)]
+            active = active[region[active] == region[active + step]]
+            pair = active[(active + step >= self.told) & real[active + step]]
+            out.append((np.full(len(pair), CANDIDATE), num[pair], num[pair + step]))
+            step += 1
+        held = wait if wait else 0 if last else min(int(sizes[-1]), self.window)
+        self.told = held if not wait and not last else 0
+        self.key, self.num, self.marked = (x[len(key) - held :] for x in (key, num, marked))
+        return out
+
+
+def _pass_over(rows: DataFrame, cut: bool, room: int) -> DataFrame:
+    """``(kind, a, b)`` of sorted ``(key, num, marked)`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regions = Regions(cut, room)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+        def told(found: list) -> Iterator[pa.RecordBatch]:
+            for kind, a, b in found:
+                if len(kind):
+                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+        for batch in batches:
+            yield from told(regions.add(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))))
+        yield from told(regions.add(*none, last=True))
+
+    return rows.mapInArrow(run, "kind int, a bigint, b bigint")
 
-def candidate_pairs(records: DataFrame, size: int, threshold: float, trees: int = TREES) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of ``(rec_id, text)`` rows that are neighbours in some tree."""
-    kind = records.schema["rec_id"].dataType.simpleString()
-    least = _agreement(threshold)
+
+def forest_candidates(signed: DataFrame, trees: int = TREES, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` of ``(num, v)`` rows that are neighbours in some tree, maybe repeated, and the ``num`` of crowded ones."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = 0
-            while i < len(batch):
-                j, chars = i, 0
-                texts: list[str] = []
-                while j < len(batch) and j - i < 2000 and chars < 4 << 20:
-                    texts.append(batch.column(1)[j].as_py())
-                    chars += len(texts[-1])
-                    j += 1
-                yield forest_rows(batch.column(0).slice(i, j - i), texts, size, trees)
-                i = j
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count, begin = 0, 0
-
-        def flush(last: bool) -> pa.RecordBatch:
-            nonlocal held, count, begin
-            table = pa.Table.from_batches(held).combine_chunks()
-            k1, *sketch = (table[c].to_numpy() for c in ("k1", *SKETCH))
-            a, b = neighbours(k1, sketch, least, begin=begin)
-            ids = table["rec_id"].combine_chunks()
-            out = pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
-            # Rows of the open region stay, as far as the carry goes; their pairs are not given twice.
-            region = k1 >> 24
-            keep = min(len(k1) - int(np.searchsorted(region, region[-1])), CARRY) if len(k1) and not last else 0
-            rest = table.slice(len(k1) - keep)
-            held, count, begin = rest.to_batches(), keep, keep
-            return out
+            for i in range(0, len(batch), 1000):
+                yield forest_rows(batch.slice(i, 1000), trees)
+
+    forest = signed.select("num", "v").mapInArrow(rows, "key bigint, num bigint")
+    # The number is part of the range, so even a region of equal keys is cut into parts of like size.
+    placed = forest.repartitionByRange("key", "num").sortWithinPartitions("key", "num")
+    found = written(_pass_over(placed.select("key", "num", F.lit(False).alias("marked")), True, room), "forest")
+    # At most two regions of a task are cut, and of each so many rows come here as fit an uncrowded region.
+    parts = found.where(F.col("kind").isin(CUT, CUT_CROWDED)).select(F.col("b").alias("key"), F.col("a").alias("num"), (F.col("kind") == CUT_CROWDED).alias("marked"))
+    parts = parts.repartition(F.shiftright("key", 24)).sortWithinPartitions("key", "num")
+    joined = written(_pass_over(parts, False, room), "cut-regions")
+    both = found.unionByName(joined)
+    return both.where(F.col("kind") == CANDIDATE).select("a", "b"), both.where(F.col("kind") == CROWDED).select(F.col("a").alias("num")).distinct()
+
+
+def rare_first(batch: pa.RecordBatch, common: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """The leading shingles of every record, common ones last: shingle, number, size, place, whether to index it, whether it is common."""
+    num, hashes, starts = _shingle_lists(batch)
+    size = np.diff(np.r_[starts, len(hashes)])
+    of = np.repeat(np.arange(len(num)), size)
+    held = np.isin(hashes, common)
+    order = np.lexsort((hashes, held, of))
+    place = np.arange(len(hashes)) - np.repeat(starts, size)
+    n = size[of]
+    probed = place < n - np.ceil(threshold * n - 1e-9) + 1
+    index = place < n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+    kept = np.flatnonzero(probed)
+    columns = [hashes[order].view(np.int64), num[of], n, place, index, held[order]]
+    return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["shingle", "num", "n", "place", "indexed", "common"])
+
+
+def exact_candidates(lists: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``, maybe repeated, with every pair of ``(num, shingles)`` rows whose similarity reaches the threshold.
+
+    Of two such records the smaller one shares one of its first shingles to
+    index with the first shingles of the other.  Joins by a common shingle are
+    salted.
+    """
+    each = lists.select(F.explode("shingles").alias("shingle"))
+    total = each.count()
+    often = each.groupBy("shingle").count().where(F.col("count") > max(COMMON_FROM, total // COMMON_MOST)).select("shingle")
+    common = np.array([r.shingle for r in often.collect()], np.int64).view(np.uint64)  # at most COMMON_MOST, as each counts for more than total / COMMON_MOST
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            count += len(batch)
-            if count - begin >= BLOCK_ROWS:
-                yield flush(False)
-        if held:
-            yield flush(True)
+            yield rare_first(batch, common, threshold)
 
-    forest = records.select("rec_id", "text").mapInArrow(rows, f"k1 bigint, k2 bigint, {', '.join(f'{c} bigint' for c in SKETCH)}, rec_id {kind}")
-    # The id is part of the range, so even a region of equal keys is cut into partitions of like size.
-    order = ["k1", "k2", "rec_id"]
-    found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pairs, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    leading = written(lists.select("num", "shingles").mapInArrow(rows, "shingle bigint, num bigint, n bigint, place bigint, indexed boolean, common boolean"), "leading")
+    salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    x = leading.where("indexed").withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("num"), F.lit(SALT)).cast("int")).otherwise(0)).alias("x")
+    y = leading.withColumn("salt", F.explode(salts)).alias("y")
+    smaller = F.expr("x.n < y.n or (x.n = y.n and x.num < y.num)")
+    rest = 1 + F.least(F.expr("x.n - x.place - 1"), F.expr("y.n - y.place - 1"))
+    enough = (F.expr("x.n") >= threshold * F.expr("y.n") - 1e-9) & (rest >= threshold / (1 + threshold) * F.expr("x.n + y.n") - 1e-9)
+    joined = x.join(y, F.expr("x.shingle = y.shingle and x.salt = y.salt") & smaller & enough)
+    return joined.select(F.col("x.num").alias("a"), F.col("y.num").alias("b"))
 
 
-def verified_pairs(pairs: DataFrame, records: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs whose exact Jaccard similarity reaches the threshold."""
-    kind = records.schema["rec_id"].dataType.simpleString()
+def least_agreement(threshold: float) -> int:
+    """Sketched values that two records of the threshold's similarity share but for four cases in a million."""
+    p = threshold + (1 - threshold) / 4
+    return math.floor(VALUES * p - 4.5 * math.sqrt(VALUES * p * (1 - p)))
 
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, values = [], []
-            for i in range(len(batch)):
-                a, b = ({tuple(w[j : j + size]) for j in range(len(w) - size + 1)} for w in (TERM_RE.findall(batch.column(c)[i].as_py().lower()) for c in (2, 3)))
-                both = len(a & b)
-                similarity = both / max(len(a) + len(b) - both, 1)
-                if similarity >= threshold:
-                    kept.append(i)
-                    values.append(similarity)
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
-
-    texts = records.select("rec_id", "text")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(jaccard, f"a {kind}, b {kind}, similarity double")
+
+def alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``(a, b)``, a < b, of the pairs whose sketches agree in as many values as similar records do."""
+    for side in "ab":
+        pairs = pairs.join(signed.select(F.col("num").alias(side), *(F.col(c).alias(f"{c}{side}") for c in SKETCH)), side)
+    differ = [F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b")) for c in SKETCH]
+    apart = F.bit_count(differ[0].bitwiseOR(differ[2])) + F.bit_count(differ[1].bitwiseOR(differ[3]))
+    kept = pairs.where(apart <= VALUES - least_agreement(threshold))
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, similarity)`` of the pairs whose Jaccard similarity reaches the threshold."""
+    of_a, of_b = lists.select(F.col("num").alias("a"), F.col("shingles").alias("of_a")), lists.select(F.col("num").alias("b"), F.col("shingles").alias("of_b"))
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.size("of_a").alias("na"), F.size("of_b").alias("nb"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
+    return both.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 class NearDuplicates:
     """Near-duplicate classes and links of a collection.
 
     Null ids and texts are left out, a record in several rows counts once, and
-    a record of fewer than ``size`` terms is in no pair.  ``classes`` has one
+    a record of fewer than ``size`` terms is in no pair.  ``members`` has one
     row per record with at least ``size`` terms: ``rec_id``, ``key`` of its term
     sequence.  ``links`` has ``(a, b, similarity)`` between the smallest ids of
     different classes.  An empty table gives empty results.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8, trees: int = TREES):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8, trees: int = TREES, room: int = ROOM):
         records = one_per_record(df, id_col, text_col).withColumn("terms", terms_column(F.col("text"))).where(F.size("terms") >= size)
-        records = written(records.select("rec_id", F.md5(F.concat_ws(" ", "terms").cast("binary")).alias("key"), "text"), "records")
-        first = records.groupBy("key").agg(F.min(F.struct("rec_id", "text")).alias("first"), F.count("*").alias("members"))
-        first = written(first.select("key", "first.rec_id", "members", "first.text"), "classes")
-        self.classes = records.select("rec_id", "key")
+        records = records.select("rec_id", F.concat_ws(" ", "terms").alias("words")).select("rec_id", F.md5(F.col("words").cast("binary")).alias("key"), "words")
+        records = written(records, "records")
+        first = records.groupBy("key").agg(F.min(F.struct("rec_id", "words")).alias("first"), F.count("*").alias("members"))
+        # Pairs are of the numbers that rows of this table get once and for all: eight bytes, however long the ids are.
+        first = first.select("key", "first.rec_id", "members", "first.words").withColumn("num", F.monotonically_increasing_id())
+        first = written(first, "classes")
+        lists = first.select("num", F.split("words", " ").alias("terms")).select("num", shingles(F.col("terms"), size).alias("shingles"))
+        signed = written(lists.mapInArrow(_signed, f"num bigint, v binary, {', '.join(f'{c} bigint' for c in SKETCH)}"), "signatures")
+        pairs, crowded = forest_candidates(signed, trees, room)
+        crowded = written(crowded, "crowded")
+        if crowded.head(1):
+            pairs = pairs.unionByName(exact_candidates(written(lists.join(crowded, "num"), "crowded-lists"), threshold))
+        pairs = written(alike(pairs, signed, threshold), "candidates")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+        found = verified(pairs, written(lists.join(asked, "num"), "candidate-lists"), threshold)
+        a, b = (first.select(F.col("num").alias(c), F.col("rec_id").alias(f"id_{c}")) for c in ("a", "b"))
+        found = found.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
+        self.members = records.select("rec_id", "key")
         self.firsts = first.select("key", F.col("rec_id").alias("first"), "members")
-        self.links = written(verified_pairs(candidate_pairs(first, size, threshold, trees), first, size, threshold), "links")
+        self.links = written(found, "links")
 
     def _members(self, of: DataFrame) -> DataFrame:
-        """``(first, rec_id)`` of the members of some classes, salted as one class may hold much of the table."""
+        """``(rec_id, ...)`` of the members of some classes ``(key, ...)``, salted as one class may hold much of the table."""
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-        salted = self.classes.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALT)).cast("int"))
-        return salted.join(of.withColumn("salt", salts), ["key", "salt"]).select("first", "rec_id")
+        salted = self.members.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALT)).cast("int"))
+        return salted.join(of.withColumn("salt", salts), ["key", "salt"]).drop("key", "salt")
+
+    def classes(self) -> DataFrame:
+        """``(rec_id, first, members, links)``: every record, its class by its smallest id, the records of the class, and how many other classes are similar."""
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
+        known = self.firsts.join(ends, "first", "left").select("key", "first", "members", F.coalesce("links", F.lit(0)).alias("links"))
+        return self._members(known).select("rec_id", "first", "members", "links")
 
     def pairs(self, expand: int = EXPAND) -> DataFrame:
         """``(a, b)``, a < b by bytes, of all similar records.
 
         A class of more than ``expand`` equal records stands for its members:
         it gives the links of its smallest id to each of them and to other
-        classes, not the pairs of all its members.
+        classes, not the pairs of all its members.  ``classes`` and ``links``
+        have the whole without any such bound.
         """
-        several = self.firsts.where("members > 1")
+        several = self.firsts.where("members > 1").select("key", "first", "members")
         small = self._members(several.where(F.col("members") <= expand)).groupBy("first").agg(F.sort_array(F.collect_list("rec_id")).alias("all"))
         of_a, of_b = small.toDF("a", "all_a"), small.toDF("b", "all_b")
         across = self.links.join(of_a, "a", "left").join(of_b, "b", "left")
         across = across.select(F.explode(F.coalesce("all_a", F.array("a"))).alias("a"), "b", "all_b").select("a", F.explode(F.coalesce("all_b", F.array("b"))).alias("b"))
         within = small.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-        star = self._members(several.where(F.col("members") > expand)).where("first <> rec_id").toDF("a", "b")
+        star = self._members(several.where(F.col("members") > expand)).where("first <> rec_id").select(F.col("first").alias("a"), F.col("rec_id").alias("b"))
         both = across.unionByName(within).unionByName(star)
         return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -245,8 +329,8 @@ class NearDuplicates:
         """
         labels = components(self.links.select("a", "b"))
         firsts = self.firsts.join(labels.withColumnRenamed("node", "first"), "first", "left")
-        named = firsts.select("key", F.coalesce("label", "first").alias("first"))
-        return self._members(named).select("rec_id", F.col("first").alias("group_id"))
+        named = firsts.select("key", F.coalesce("label", "first").alias("group_id"))
+        return self._members(named).select("rec_id", "group_id")
 
 
 def components(edges: DataFrame) -> DataFrame:

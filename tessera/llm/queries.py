@@ -53,12 +53,27 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return NearDuplicates(_table(spark, folder, "corpus"), "doc_id", "text", size=3, threshold=0.5).pairs().toDF("doc_id_a", "doc_id_b")
+    return _near_duplicates(spark, folder).pairs().toDF("doc_id_a", "doc_id_b")
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of three terms or more and its group of near duplicates."""
-    return NearDuplicates(_table(spark, folder, "corpus"), "doc_id", "text", size=3, threshold=0.5).groups().toDF("doc_id", "group_id")
+    return _near_duplicates(spark, folder).groups().toDF("doc_id", "group_id")
+
+
+def _near_duplicates(spark: SparkSession, folder: str) -> NearDuplicates:
+    return NearDuplicates(_table(spark, folder, "corpus"), "doc_id", "text", size=3, threshold=0.5)
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of three terms or more, the class of equal term sequences that it is in, and that class's links."""
+    return _near_duplicates(spark, folder).classes().toDF("doc_id", "class_id", "n_members", "n_links")
+
+
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Similar classes; with ``p5_classes`` the whole of ``p5_found``, however large a class is."""
+    links = _near_duplicates(spark, folder).links
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
 
 
 def _term_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +126,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p6_found, p6_scores, p6_all_scores, p7_ids, p8_containers, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p5_classes, p5_links, p6_found, p6_scores, p6_all_scores, p7_ids, p8_containers, p9_found, p9_composition)}
 
 
 _P1 = """
@@ -159,6 +174,27 @@ sizes as (select doc_id, count(*) as n from runs group by doc_id),
 shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from runs a join runs b using (run) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id)
 select a as doc_id_a, b as doc_id_b from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b where s.n >= 0.5 * (x.n + y.n - s.n)"""
 
+_P5_CLASSES = _P5[: _P5.index("sizes as")] + """
+firsts as (select min(doc_id) as class_id, l, count(*) as n_members from lists where len(l) >= 3 group by l),
+sizes as (select doc_id, count(*) as n from runs where doc_id in (select class_id from firsts) group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from runs a join runs b using (run) where a.doc_id < b.doc_id
+  and a.doc_id in (select class_id from firsts) and b.doc_id in (select class_id from firsts) group by a.doc_id, b.doc_id),
+linked as (select a, b, s.n / (x.n + y.n - s.n)::double as similarity from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b where s.n >= 0.5 * (x.n + y.n - s.n))"""
+
+_P5_LINKS = _P5_CLASSES + """
+select a as class_a, b as class_b, round(similarity, 6) as similarity from linked"""
+
+_P5_GROUPS = _P5_CLASSES.replace("with texts", "with recursive texts") + """,
+ends as (select a as x, b as y from linked union all select b, a from linked),
+reached(x, y) as (select class_id, class_id from firsts union select r.x, e.y from reached r join ends e on e.x = r.y),
+named as (select x as class_id, min(y) as group_id from reached group by x)
+select doc_id, group_id from lists join firsts using (l) join named using (class_id)"""
+
+_P5_CLASSES += """,
+ends as (select a as class_id from linked union all select b from linked),
+counted as (select class_id, count(*) as n_links from ends group by class_id)
+select doc_id, class_id, n_members, coalesce(n_links, 0) as n_links from lists join firsts using (l) left join counted using (class_id)"""
+
 _P6 = _TERMS + """,
 tf as (select doc_id, term, count(*) as tf from words group by doc_id, term),
 held as (select term from tf group by term having count(*) between 2 and 12)
@@ -184,4 +220,4 @@ _P6_ALL_SCORES = _P6_SCORES.replace("rec_kind, rec_id, term, tf, df, round(score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_scores": _P6_SCORES, "p6_all_scores": _P6_ALL_SCORES}
+    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p5_found": _P5, "p5_classes": _P5_CLASSES, "p5_links": _P5_LINKS, "p5_groups": _P5_GROUPS, "p6_found": _P6, "p6_scores": _P6_SCORES, "p6_all_scores": _P6_ALL_SCORES}

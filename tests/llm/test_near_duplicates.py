@@ -4,20 +4,23 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm.near_duplicates import NearDuplicates, components, neighbours, shingle_hashes
+from tessera.llm import near_duplicates as nd
+from tessera.llm.near_duplicates import CANDIDATE, CROWDED, CUT, CUT_CROWDED, NearDuplicates, Regions, components, shingles
 
 WORDS = [f"w{i}" for i in range(4000)]
 
 
-def shingles(text, size):
+def runs(text, size):
     terms = re.findall("[a-z0-9]+", text.lower())
     return {tuple(terms[i : i + size]) for i in range(len(terms) - size + 1)}
 
 
 def brute(texts, size, threshold):
-    sets = {d: s for d, t in texts.items() if (s := shingles(t, size))}
+    sets = {d: s for d, t in texts.items() if (s := runs(t, size))}
     return {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
 
 
@@ -65,18 +68,81 @@ def test_empty(spark):
     assert found.pairs().count() == 0 and found.groups().count() == 0
 
 
-def test_a_crowded_region_is_not_cut_off():
-    same = np.full(60, 5 << 24, np.int64)
-    sketch = np.zeros(60, np.int64)
-    left, _ = neighbours(same, [sketch] * 4, 80, window=3)
-    assert len(left) == 60 * 59 // 2
-    left, _ = neighbours(same, [np.where(np.arange(60) % 2, -1, 0), sketch, sketch, sketch], 80, window=2)
-    assert len(left) == 58  # neighbours at distance 1 differ in 64 values, bits of negative numbers count as they are
+def boilerplate(n=90):
+    """Records that share 57 % of their text, so two of them have a similarity of about 0.4, and some true pairs."""
+    rng, shared, texts = random.Random(5), [f"b{i}" for i in range(57)], {}
+    for i in range(n):
+        own = [rng.choice(WORDS) for _ in range(43)]
+        texts[f"d{i:03}"] = " ".join(shared + own)
+        if i % 9 == 0:
+            texts[f"d{i:03}x"] = " ".join(shared + own[:18] + [rng.choice(WORDS) for _ in range(25)])
+    return texts
 
 
-def test_shingles_stay_within_a_text():
-    hashes, counts = shingle_hashes(["a b c d", "", "a b", "b c d"], 3)
-    assert counts.tolist() == [2, 0, 0, 1] and hashes[1] == hashes[2] != hashes[0]
+def test_nothing_is_lost_in_a_crowded_region(spark):
+    texts = boilerplate()
+    want = brute(texts, 3, 0.5)
+    found = NearDuplicates(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t", 3, 0.5, room=4)
+    assert {tuple(r) for r in found.pairs().collect()} == want and len(want) >= 9
+
+
+@pytest.mark.parametrize(("size", "threshold", "common"), [(3, 0.5, 1000), (3, 0.5, 5), (5, 0.8, 5), (1, 0.6, 3)])
+def test_the_exact_join_has_every_similar_pair(spark, monkeypatch, size, threshold, common):
+    monkeypatch.setattr(nd, "COMMON_FROM", common)
+    texts = {i: t for i, t in enumerate([*collection(1, 40).values(), *boilerplate(30).values()])}
+    df = spark.createDataFrame(list(texts.items()), "num bigint, t string").select("num", F.split("t", " ").alias("terms"))
+    got = {tuple(sorted(r)) for r in nd.exact_candidates(df.select("num", shingles(F.col("terms"), size).alias("shingles")), threshold).collect()}
+    assert brute(texts, size, threshold) <= got and all(a != b for a, b in got)
+
+
+def candidates(parts, room, window, block):
+    """Pairs and crowded numbers of sorted keys that are cut into parts, as the two passes find them."""
+    found, number = [], 0
+    for keys in parts:
+        one = Regions(True, room, window)
+        num = np.arange(number, number + len(keys))
+        number += len(keys)
+        for i in range(0, len(keys), block):
+            found += one.add(keys[i : i + block], num[i : i + block], np.zeros(len(keys[i : i + block]), bool))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        found += one.add(*none, last=True)
+    rows = [r for kind, a, b in found for r in zip(kind.tolist(), a.tolist(), b.tolist())]
+    again = sorted((b, a, kind == CUT_CROWDED) for kind, a, b in rows if kind in (CUT, CUT_CROWDED))
+    two = Regions(False, room, window)
+    for kind, a, b in two.add(*(np.array(x) for x in zip(*again)), last=True) if again else []:
+        rows += zip(kind.tolist(), a.tolist(), b.tolist())
+    return [(a, b) for kind, a, b in rows if kind == CANDIDATE], {a for kind, a, _ in rows if kind == CROWDED}
+
+
+@given(st.lists(st.integers(0, 6), max_size=60), st.lists(st.integers(0, 60), max_size=3), st.integers(1, 7), st.integers(1, 20))
+def test_regions_cut_anywhere_give_all_pairs_or_are_told_to_be_crowded(regions, cuts, room, block):
+    regions = sorted(regions)
+    keys = (np.array(regions, np.int64) << 24) | (np.arange(len(regions)) % 5)
+    keys.sort()
+    pairs, crowded = candidates(np.split(keys, sorted(c for c in cuts if c < len(keys))), room, 2, block)
+    region = keys >> 24
+    for value in set(region.tolist()):
+        own = np.flatnonzero(region == value).tolist()
+        if len(own) <= room:
+            assert not crowded & set(own)
+            assert sorted(p for p in pairs if p[0] in own) == list(combinations(own, 2))
+        else:
+            assert set(own) <= crowded
+    assert all(region[a] == region[b] for a, b in pairs) and len(pairs) <= len(keys) * max(room, 2)
+
+
+def test_shingles_stay_within_a_text_and_count_once(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["b", "c", "d"],), (["a", "b", "a", "b"],)], "t array<string>")
+    one, two, three = (r[0] for r in df.select(shingles(F.col("t"), 2)).collect())
+    assert len(one) == 3 and two == one[1:] and len(three) == 2 and three[0] == one[0]
+
+
+def test_classes_and_their_links_say_everything(spark):
+    one, two = "a b c d e f g h i j", "a b c d e f g h i k"
+    rows = [("p", one), ("q", one), ("r", two), ("s", "other words that nobody else has")]
+    found = NearDuplicates(spark.createDataFrame(rows, "id string, t string"), "id", "t", 3, 0.5)
+    assert {tuple(r) for r in found.classes().collect()} == {("p", "p", 2, 1), ("q", "p", 2, 1), ("r", "r", 1, 1), ("s", "s", 1, 0)}
+    assert [tuple(r) for r in found.links.select("a", "b").collect()] == [("p", "r")]
 
 
 def test_components_of_a_chain_and_a_ring(spark):
