@@ -174,20 +174,19 @@ def _numbered(df: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def with_frequencies(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """``rows`` with ``df``, joined by term without a hot key.
+    """``rows`` joined with ``terms(term, df, ...)`` by term without a hot key.
 
     A vocabulary of up to ``BROADCAST_TERMS`` rows is sent to every task.  Of a
     larger one only the terms are that ``HOT_TERM`` documents hold, of which
     there are no more than rows / ``HOT_TERM``; the others are joined by
     shuffle, where no key has more than ``HOT_TERM`` rows.
     """
-    known = terms.select("term", "df")
     if n_terms <= BROADCAST_TERMS:
-        return rows.join(F.broadcast(known), "term")
-    hot = known.where(F.col("df") >= HOT_TERM)
+        return rows.join(F.broadcast(terms), "term")
+    hot = terms.where(F.col("df") >= HOT_TERM)
     if hot.count() > BROADCAST_TERMS:
-        return rows.join(known, "term")
-    cold = rows.join(F.broadcast(hot.select("term")), "term", "left_anti").join(known.where(F.col("df") < HOT_TERM), "term")
+        return rows.join(terms, "term")
+    cold = rows.join(F.broadcast(hot.select("term")), "term", "left_anti").join(terms.where(F.col("df") < HOT_TERM), "term")
     return cold.unionByName(rows.join(F.broadcast(hot), "term"))
 
 
@@ -242,7 +241,7 @@ def build_index(corpus: DataFrame, analyzer: Analyzer = Analyzer(), forward_term
     terms = _stored(terms, f"{folder}/terms")
     divisions = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_postings / DIVISION_POSTINGS)), MOST_DIVISIONS)
     buckets = min(max(LEAST_BUCKETS, math.ceil(n_postings / BUCKET_POSTINGS)), MOST_BUCKETS)
-    rows = with_frequencies(rows, terms, vocabulary.get["n"] or 0).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    rows = with_frequencies(rows, terms.select("term", "df"), vocabulary.get["n"] or 0).withColumn("bucket", term_bucket(F.col("term"), buckets))
     table = _divided(rows, f"{folder}/postings", divisions)
     docs = _stored(document_norms(documents.select("ord", "doc_id", "dl"), spark.table(table), n_docs), f"{folder}/docs")
     lists = documents.select("ord", "dl", F.slice("terms", 1, forward_terms).alias("terms"))
