@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.records import one_per_record, terms_column
+from tessera.operators.index import with_frequencies
 from tessera.scratch import written
 
 
@@ -47,16 +48,34 @@ class TermModel:
         self.counts = written(term_frequencies(corpus, id_col, text_col), "term-counts")
         # One row per term and task after the map-side combine, so common terms don't gather.
         self.stats = written(self.counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")), "term-stats")
+        self.terms = self.stats.count()
         texts = corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col).distinct().count()
         total = self.stats.agg(F.sum("occurrences")).first()[0] or 0
         self.records, self.mean_length = max(texts, 1), total / max(texts, 1) or 1.0
 
+    def _dfr(self, tf: Column, occurrences: Column) -> Column:
+        return dfr_score(tf, F.col("length"), occurrences, F.lit(float(self.records)), F.lit(float(self.mean_length)))
+
     def _score(self, counts: DataFrame) -> DataFrame:
-        score = dfr_score(F.col("tf"), F.col("length"), F.col("occurrences"), F.lit(float(self.records)), F.lit(float(self.mean_length)))
-        return counts.join(self.stats, "term").select("rec_id", "term", "tf", "df", score.alias("score"))
+        score = self._dfr(F.col("tf"), F.col("occurrences"))
+        # Terms that very many records hold are sent to every task, so none is a hot key.
+        return with_frequencies(counts, self.stats, self.terms).select("rec_id", "term", "tf", "df", "length", score.alias("score"))
+
+    def least_score(self, tf: int, fewest: int, most: int) -> Column:
+        """What a term that ``fewest`` to ``most`` records hold scores at least in a record that has it ``tf`` times or more.
+
+        A column over ``length``.  It is the score at exactly so many
+        occurrences of the most frequent of these terms, as the score grows with
+        the occurrences in the record and falls with those in the collection
+        where the latter are fewer than records and the record isn't so long
+        that its normalised frequency is below the collection's; else 0.
+        """
+        often = self.stats.where(F.col("df").between(fewest, most)).agg(F.max("occurrences")).first()[0] or 1
+        rate, f = often / self.records, tf * F.log2(1 + F.lit(float(self.mean_length)) / F.col("length"))
+        return F.when(F.lit(rate < 1) & (f > rate), self._dfr(F.lit(tf), F.lit(often))).otherwise(0.0)
 
     def own_scores(self) -> DataFrame:
-        """``(rec_id, term, tf, df, score)`` of every term of every record of the collection."""
+        """``(rec_id, term, tf, df, length, score)`` of every term of every record of the collection."""
         return self._score(self.counts)
 
     def scores(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,7 +84,7 @@ class TermModel:
 
 
 def distinctiveness(corpus: DataFrame, id_col: str, text_col: str, subject: DataFrame | None = None, subject_id: str | None = None, subject_text: str | None = None) -> DataFrame:
-    """``(rec_id, term, tf, df, score)`` of the records of ``subject``, by default of ``corpus``, as ``TermModel`` gives it.
+    """``(rec_id, term, tf, df, length, score)`` of the records of ``subject``, by default of ``corpus``, as ``TermModel`` gives it.
 
     Empty tables give no rows.
     """

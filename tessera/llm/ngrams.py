@@ -1,7 +1,9 @@
 """Occurrence and record counts of every term or n-gram, from suffix arrays.
 
 Each task takes whole records in blocks of bounded size and sorts the suffixes
-of a block by prefix doubling.  A run of neighbouring suffixes whose common
+of a block by prefix doubling, to the end of their records.  The common prefixes
+of neighbours hold the counts of n-grams of every length; what is asked for, up
+to a length, is read off the same structure.  A run of neighbouring suffixes whose common
 prefix has at least n terms is the interval of one n-gram: its length is the
 number of occurrences.  Its number of records is that length less the suffixes
 whose predecessor from the same record lies in the same interval, i.e. less the
@@ -22,40 +24,58 @@ from pyspark.sql import functions as F
 
 from tessera.llm.records import TERM_RE, one_per_record
 
-#: Terms in a block; bounds the memory of a task (about 100 bytes a term) and nothing else.
+#: Terms in a block; bounds the memory of a task (about 200 bytes a term) and nothing else.
 BLOCK_TERMS = 1 << 20
 
 
-def suffix_order(code: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` terms, ties by position.
+def suffix_ranks(code: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... terms, until no more terms tell any two of them apart.
 
     ``code``: symbols from 1; ``rest``: terms from here to the end of the record.
     """
-    rank, k = code.astype(np.int64), 1
-    while k < depth:
-        ahead = np.zeros_like(rank)
-        ahead[:-k or None] = rank[k:]
+    ranks, k = [code.astype(np.int32)], 1
+    distinct = len(np.unique(code))
+    while k < rest.max(initial=0):
+        ahead = np.zeros(len(code), np.int64)
+        ahead[:-k or None] = ranks[-1][k:]
         ahead[rest <= k] = 0
-        key = rank * (int(rank.max(initial=0)) + 1) + ahead
+        key = ranks[-1].astype(np.int64) * (int(ranks[-1].max(initial=0)) + 1) + ahead
         order = np.argsort(key, kind="stable")
         moved = np.ones(len(key), np.int64)
         moved[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty_like(rank)
+        rank = np.empty(len(code), np.int32)
         rank[order] = np.cumsum(moved)
-        k *= 2
-    return np.argsort(rank, kind="stable")
+        ranks.append(rank)
+        if int(rank.max()) == distinct:
+            break
+        distinct, k = int(rank.max()), 2 * k
+    return ranks
 
 
-def common_prefixes(code: np.ndarray, rest: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the prefix that each suffix shares with the one before it, up to ``depth``."""
+def suffix_order(ranks: list[np.ndarray]) -> np.ndarray:
+    """Suffixes in order of all their terms, ties by position."""
+    return np.argsort(ranks[-1], kind="stable")
+
+
+def common_prefixes(ranks: list[np.ndarray], rest: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each suffix shares with the one before it, from the lengths 2^i at which ranks agree.
+
+    Suffixes of equal last rank are equal to their ends; of all others the
+    common length is below the last length, so each length counts once at most.
+    """
     shared = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    for d in range(depth):
-        a, b = order[live - 1], order[live]
-        live = live[(rest[a] > d) & (rest[b] > d)]
-        a, b = order[live - 1] + d, order[live] + d
-        live = live[code[a] == code[b]]
-        shared[live] = d + 1
+    a, b = order[:-1].copy(), order[1:].copy()
+    left_a, left_b = rest[a], rest[b]
+    same = ranks[-1][a] == ranks[-1][b]
+    shared[1:][same] = left_a[same]
+    left_a[same] = 0
+    for i in range(len(ranks) - 2, -1, -1):
+        live = np.flatnonzero((left_a >= 1 << i) & (left_b >= 1 << i))
+        live = live[ranks[i][a[live]] == ranks[i][b[live]]]
+        shared[live + 1] += 1 << i
+        for at, left in ((a, left_a), (b, left_b)):
+            left[live] -= 1 << i
+            at[live] = np.where(left[live] > 0, at[live] + (1 << i), at[live])
     return shared
 
 
@@ -69,8 +89,9 @@ def block_counts(texts: list[str], max_n: int) -> pa.RecordBatch:
         code, names = pd.factorize(np.array(words, dtype=object))
         record = np.repeat(np.arange(len(each)), sizes)
         rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
-        order = suffix_order(code + 1, rest, max_n)
-        shared = common_prefixes(code, rest, order, max_n)
+        ranks = suffix_ranks(code + 1, rest)
+        order = suffix_order(ranks)
+        shared = common_prefixes(ranks, rest, order)
         of = record[order]
         by_record = np.argsort(of, kind="stable")
         before = np.full(len(order), -1)

@@ -32,8 +32,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms and pairs of terms with their counts and marks."""
-    return marked_counts(_table(spark, folder, "corpus"), "doc_id", "text", max_n=2)
+    """Runs of one to three terms with their counts and marks."""
+    return marked_counts(_table(spark, folder, "corpus"), "doc_id", "text", max_n=3)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,28 +76,30 @@ def p5_links(spark: SparkSession, folder: str) -> DataFrame:
     return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
 
 
-def _term_scores(spark: SparkSession, folder: str) -> DataFrame:
+def _term_scores(spark: SparkSession, folder: str) -> tuple[TermModel, DataFrame]:
     model = TermModel(_table(spark, folder, "corpus"), "doc_id", "text")
     of_queries = model.scores(_table(spark, folder, "queries_dev"), "qid", "query_text")
-    return model.own_scores().withColumn("rec_kind", F.lit("doc")).unionByName(of_queries.withColumn("rec_kind", F.lit("query")))
+    return model, model.own_scores().withColumn("rec_kind", F.lit("doc")).unionByName(of_queries.withColumn("rec_kind", F.lit("query")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms with a score whose counts are those of a case."""
-    cases = _term_scores(spark, folder).where("df between 2 and 12 and (rec_kind = 'query' or tf >= 3) and score > 0")
-    return cases.select("rec_kind", "rec_id", "term")
+    """Terms that score as much as a case must, then checked by the counts of a case."""
+    model, scores = _term_scores(spark, folder)
+    least = F.when(F.col("rec_kind") == "doc", model.least_score(3, 2, 12)).otherwise(model.least_score(1, 2, 12))
+    ranked = scores.where(F.col("score") >= least - 1e-9)
+    return ranked.where("df between 2 and 12 and (rec_kind = 'query' or tf >= 3)").select("rec_kind", "rec_id", "term")
 
 
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The five most distinctive terms of every record."""
     order = Window.partitionBy("rec_kind", "rec_id").orderBy(F.desc(F.round("score", 6)), F.asc("term"))
-    best = _term_scores(spark, folder).withColumn("place", F.row_number().over(order)).where("place <= 5")
+    best = _term_scores(spark, folder)[1].withColumn("place", F.row_number().over(order)).where("place <= 5")
     return best.select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"), F.col("place").cast("bigint").alias("place"))
 
 
 def p6_all_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every term of every record with its score."""
-    return _term_scores(spark, folder).select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"))
+    return _term_scores(spark, folder)[1].select("rec_kind", "rec_id", "term", "tf", "df", F.round("score", 4).alias("score"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,8 +152,9 @@ having count(distinct doc_id) < 3 or count(distinct doc_id) > 0.3 * total.n"""
 
 _P2_NGRAMS = _TERMS + """,
 placed as (select doc_id, unnest(l) as term, unnest(range(len(l))) as pos from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as l from texts)),
+ahead as (select doc_id, term, lead(term) over w as next, lead(term, 2) over w as third from placed window w as (partition by doc_id order by pos)),
 grams as (select doc_id, 1 as n, term as ngram from placed union all
-  select doc_id, 2, term || ' ' || next from (select doc_id, term, lead(term) over (partition by doc_id order by pos) as next from placed) where next is not null),
+  select doc_id, 2, term || ' ' || next from ahead where next is not null union all select doc_id, 3, term || ' ' || next || ' ' || third from ahead where third is not null),
 counted as (select n, ngram, count(*) as n_occurrences, count(distinct doc_id) as n_records from grams group by n, ngram)
 select c.n, ngram, n_occurrences, n_records, case when n_records < 3 then 'rare' when n_records > 0.3 * total.n then 'common' end as mark from counted c, total"""
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -22,8 +23,10 @@ from pyspark.sql import types as T
 
 from tessera.scratch import new_path
 
-#: Bytes of a row group, the unit of skipping.  Small against a file, large against a page.
-ROW_GROUP_BYTES = 1 << 20
+#: Bytes of a row group (a few thousand rows), the unit of skipping: small against a large group's rows.
+ROW_GROUP_BYTES = 1 << 15
+#: Row groups read at a time where none can be left out.
+ROW_GROUPS = 64
 
 
 def cluster_by_group(df: DataFrame, groups: list[str], item: str, score: str, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
@@ -42,9 +45,8 @@ def cluster_by_group(df: DataFrame, groups: list[str], item: str, score: str, pa
     )
 
 
-def _merge(held: pa.Table | None, more: pa.Table, groups: list[str], n: int) -> tuple[pa.Table, np.ndarray]:
-    """Best ``n`` distinct items per group of both tables, and each row's place in its group."""
-    table = more if held is None else pa.concat_tables([held, more])
+def best_rows(table: pa.Table, groups: list[str], n: int) -> pa.Table:
+    """Best ``n`` distinct items per group, in order of group and place."""
     table = table.sort_by([*((c, "ascending") for c in groups), ("score", "descending"), ("item", "ascending")]).combine_chunks()
     starts = np.zeros(len(table), bool)
     starts[:1] = True
@@ -54,38 +56,61 @@ def _merge(held: pa.Table | None, more: pa.Table, groups: list[str], n: int) ->
     group = np.cumsum(starts) - 1
     items = table["item"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     key = group * (int(items.max(initial=0)) + 1) + items
-    first = np.zeros(len(table), bool)
-    first[np.unique(key, return_index=True)[1]] = True
-    kept = np.flatnonzero(first)
+    kept = np.sort(np.unique(key, return_index=True)[1])
     new = np.ones(len(kept), bool)
     new[1:] = group[kept][1:] != group[kept][:-1]
     begin = np.maximum.accumulate(np.where(new, np.arange(len(kept)), 0))
-    place = np.arange(len(kept)) - begin
-    best = place < n
-    return table.take(pa.array(kept[best])), place[best]
+    return table.take(pa.array(kept[np.arange(len(kept)) - begin < n]))
 
 
 def scan_file(path: str, groups: list[str], n: int) -> tuple[pa.Table | None, int, int]:
-    """Best ``n`` items per group within one clustered file; row groups read and skipped."""
+    """Best ``n`` items per group within one clustered file (some more of a group that fills row groups); row groups read and skipped.
+
+    A row group is left out if each group in it has ``n`` items strictly above
+    its maximum.  As a file is sorted by group and then by descending score, a
+    row group of several groups holds the best rows of all of them but the
+    first, so none of these can be left out: they come first, in descending
+    maximum and many at a time.  Then come those of a single group, in
+    descending maximum, each tested against what is held of its group.  What is
+    done is linear in the rows read.
+    """
     system, at = fs.FileSystem.from_uri(path)
     with system.open_input_file(at) as source:
         file = pq.ParquetFile(source)
         names = file.schema_arrow.names
-        stats = []
+        several, single = [], []
         for i in range(file.num_row_groups):
             of = {c: file.metadata.row_group(i).column(names.index(c)).statistics for c in [*groups, "score"]}
             low, high = (tuple(getattr(of[c], end) if of[c] and of[c].has_min_max else None for c in groups) for end in ("min", "max"))
-            stats.append((of["score"].max if of["score"] and of["score"].has_min_max else np.inf, low, high, i))
-        held, bar, read = None, {}, 0
-        for top, low, high, i in sorted(stats, key=lambda s: (-s[0], s[3])):
-            # Only a row group of a single, known group has a bar: others may hold groups not yet seen.
-            if low == high and None not in low and top < bar.get(low, -np.inf):
+            top = of["score"].max if of["score"] and of["score"].has_min_max else np.inf
+            (single if low == high and None not in low else several).append((-top, i, low))
+        columns = [*groups, "item", "score"]
+        order = [i for _, i, _ in sorted(several)]
+        chunks = [order[j : j + ROW_GROUPS] for j in range(0, len(order), ROW_GROUPS)]
+        parts = [best_rows(file.read_row_groups(chunk, columns=columns), groups, n) for chunk in chunks]
+        found = best_rows(pa.concat_tables(parts), groups, n) if parts else None
+        held: dict[tuple, pa.Table] = {}
+        read = len(several)
+        for negative, i, key in sorted(single):
+            if key not in held:
+                held[key] = found.filter(_of_group(found, groups, key)) if found else None
+            own = held[key]
+            if own is not None and len(own) == n and -negative < own["score"][n - 1].as_py():
                 continue
-            held, place = _merge(held, file.read_row_group(i, columns=[*groups, "item", "score"]), groups, n)
-            full = held.filter(pa.array(place == n - 1))
-            bar = dict(zip(zip(*(full[c].to_pylist() for c in groups), strict=True), full["score"].to_pylist(), strict=True))
+            more = file.read_row_group(i, columns=columns)
+            held[key] = best_rows(more if own is None else pa.concat_tables([own, more]), groups, n)
             read += 1
-        return held, read, len(stats) - read
+        tables = [t for t in (found, *held.values()) if t is not None]
+        return (pa.concat_tables(tables) if tables else None), read, file.num_row_groups - read
+
+
+def _of_group(table: pa.Table, groups: list[str], key: tuple) -> pa.ChunkedArray:
+    """Which rows are of one group."""
+    of = None
+    for c, value in zip(groups, key, strict=True):
+        same = pc.equal(table[c], pa.scalar(value, table.schema.field(c).type))
+        of = same if of is None else pc.and_(of, same)
+    return of
 
 
 def top_per_group(df: DataFrame, groups: list[str], item: str, score: str, n: int = 10, row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
@@ -108,10 +133,12 @@ def top_per_group(df: DataFrame, groups: list[str], item: str, score: str, n: in
     fields = [*(T.StructField(k, t) for k, t in zip([*keys, "item"], kinds, strict=True)), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
 
+    shipped = spark.sparkContext.broadcast(files)  # a name per written file, of which there are as many as tasks
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                held, _, _ = scan_file(files[i], keys, n)
+                held, _, _ = scan_file(shipped.value[i], keys, n)
                 if held is not None:
                     yield from held.select([f.name for f in fields]).to_batches()
 

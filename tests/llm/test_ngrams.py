@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.ngrams import block_counts, marked_counts, ngram_counts, suffix_order
+from tessera.llm.ngrams import block_counts, common_prefixes, marked_counts, ngram_counts, suffix_order, suffix_ranks
 
 
 def brute(texts, max_n):
@@ -27,10 +27,21 @@ def test_blocks_count_as_brute_force(texts, max_n):
     assert got == brute(texts, max_n)
 
 
-def test_suffixes_are_sorted_to_the_depth():
-    code, rest = np.array([2, 1, 2, 1, 1, 2]), np.array([6, 5, 4, 3, 2, 1])
-    order = suffix_order(code, rest, 6)
-    assert order.tolist() == sorted(range(6), key=lambda i: code[i:].tolist())
+@settings(deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=20), max_size=6))
+def test_suffixes_are_sorted_to_their_ends_and_prefixes_are_whole(records):
+    code = np.array([c for r in records for c in r], np.int64)
+    rest = np.array([len(r) - i for r in records for i in range(len(r))], np.int64)
+    suffixes = [code[i : i + n].tolist() for i, n in enumerate(rest)]
+    if not suffixes:
+        return
+    ranks = suffix_ranks(code, rest)
+    order = suffix_order(ranks)
+    assert order.tolist() == sorted(range(len(code)), key=lambda i: (suffixes[i], i))
+    shared = common_prefixes(ranks, rest, order).tolist()
+    for i in range(1, len(order)):
+        a, b = suffixes[order[i - 1]], suffixes[order[i]]
+        assert shared[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 @pytest.mark.parametrize("block_terms", [1, 50, 1 << 20])

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tessera.llm.topn import cluster_by_group, scan_file, top_per_group
+from tessera.llm.topn import ROW_GROUP_BYTES, cluster_by_group, scan_file, top_per_group
 
 SCHEMA = "q string, s string, d string, v double, rank int, item string, score string, g0 int"
 
@@ -53,6 +53,14 @@ def test_row_groups_below_the_bar_are_skipped(spark, tmp_path):
     assert best == [59999.0, 59998.0, 59997.0, 59996.0, 59995.0]
 
 
+def test_row_groups_of_the_hot_query_are_skipped(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/dev_run.parquet").selectExpr("qid as g0", "run_tag as g1", "doc_id as item", "score").dropna().where("not isnan(score)")
+    path = str(tmp_path / "t")
+    cluster_by_group(rows, ["g0", "g1"], "item", "score", path, ROW_GROUP_BYTES)
+    scans = [scan_file(f"file://{p}", ["g0", "g1"], 10) for p in sorted((tmp_path / "t").glob("*.parquet"))]
+    assert sum(read for _, read, _ in scans) > 0 and sum(skipped for _, _, skipped in scans) > 0
+
+
 def test_a_row_group_at_the_bar_is_read(spark):
     rows = [("q", "s", f"d{i:05}", 1.0) for i in range(9000, 0, -1)]
     assert found(spark, rows, 2, row_group_bytes=1024) == {("q", "s", "d00001", 1), ("q", "s", "d00002", 2)}
