@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with texts by vector best-fit.
 
 An item uses three resources of a container: tokens, a place among at most so
-many documents, and attention cost (the square of its length).  Items are taken
+many documents, and attention cost (the square of its length).  An item whose
+own cost is above the limit has a container to itself.  Items are taken
 in descending length.  Each goes to the open container that satisfies every
 constraint and is left with the smallest weighted residual norm, or has the
 greatest weighted dot product of residual and demand; a new container is opened
@@ -27,8 +28,9 @@ from tessera.llm.bpe import TOKENIZERS, VOCABULARY, encode_texts
 from tessera.scratch import written
 
 CAPACITY = 2048
-#: Most documents of a container, and most attention cost as a multiple of one full-length text's.
-DOCUMENTS, ATTENTION = 256, 1.0
+#: Most documents of a container, and most attention cost of texts that share one, as a part of a full-length text's.
+#: Below 1 the cost binds: a long text leaves less room for others than its tokens do.
+DOCUMENTS, ATTENTION = 48, 0.8
 #: Weights of the residual shares of tokens, documents and attention.
 WEIGHTS = (1.0, 0.05, 0.05)
 #: Items that a shard should have.
@@ -38,6 +40,7 @@ SHARD_ITEMS = 20_000
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: float = ATTENTION, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> np.ndarray:
     """Container of each item, for lengths in descending order, none above the capacity.
 
+    An item that alone costs more attention than allowed takes a whole container.
     ``by``: ``norm`` takes the smallest weighted residual norm after placing,
     ``dot`` the greatest weighted dot product of residual and demand.
     """
@@ -48,7 +51,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, documents: int = DOC
     name = np.zeros(1024, np.int64)
     opened = count = 0
     for i, length in enumerate(lengths):
-        need = np.array([length / capacity, 1 / documents, length * length / (attention * capacity * capacity)])
+        need = np.array([length / capacity, 1 / documents, min(1.0, length * length / (attention * capacity * capacity))])
         rest = free[:count] - need
         fits = np.flatnonzero((rest >= -1e-12).all(axis=1))
         if len(fits):
@@ -62,13 +65,16 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, documents: int = DOC
         free[at] -= need
         place[i] = name[at]
         # A container that not even the shortest item fits is closed; the last open one takes its row.
-        if free[at, 0] * capacity < least - 1e-9 or free[at, 1] < 0.5 / documents:
+        if free[at, 0] * capacity < least - 1e-9 or free[at, 1] < 0.5 / documents or free[at, 2] * attention * capacity * capacity < least * least - 1e-6:
             count -= 1
             free[at], name[at] = free[count], name[count]
     return place
 
 
-def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, by: str = "norm") -> DataFrame:
+def pack_lengths(
+    items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, by: str = "norm",
+    documents: int = DOCUMENTS, attention: float = ATTENTION, weights: tuple[float, float, float] = WEIGHTS,
+) -> DataFrame:
     """``(doc_id, part, first_token, n_tokens, container)`` from ``(doc_id, n_tokens)``.
 
     An item is one part unless it alone exceeds the capacity; then its parts
@@ -85,7 +91,7 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int =
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable")
-        at = best_fit(pdf["n_tokens"].to_numpy(), capacity, by=by)
+        at = best_fit(pdf["n_tokens"].to_numpy(), capacity, documents, attention, weights, by)
         pdf["container"] = pdf["shard"].astype(str) + "-" + pd.Series(at, index=pdf.index).astype(str)
         return pdf[["doc_id", "part", "first_token", "n_tokens", "container"]]
 
@@ -94,10 +100,20 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int =
     return dealt.groupBy("shard").applyInPandas(pack, full).unionByName(none)
 
 
-def pack_texts(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, by: str = "norm") -> DataFrame:
-    """``pack_lengths`` of the texts' sizes in tokens of a public tokenizer.
+def pack_texts(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, by: str = "norm", **limits) -> DataFrame:
+    """``pack_lengths``, with its ``limits``, of the texts' sizes in tokens of a public tokenizer.
 
     Repeated ids are packed as the rows they are.  An empty table gives an empty one.
     """
     sizes = encode_texts(df, id_col, text_col, tokenizers, vocabulary, counts_only=True)
-    return pack_lengths(written(sizes.withColumnRenamed(id_col, "doc_id"), "sizes"), capacity, by=by)
+    return pack_lengths(written(sizes.withColumnRenamed(id_col, "doc_id"), "sizes"), capacity, by=by, **limits)
+
+
+def container_use(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``(container, n_parts, n_tokens, unused, attention)``: what each container of ``pack_lengths`` holds.
+
+    ``attention`` is the sum of squares of its parts' lengths as a part of the capacity's square.
+    """
+    square = F.pow(F.col("n_tokens") / capacity, F.lit(2.0))
+    used = packed.where("container is not null").groupBy("container").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens"), F.sum(square).alias("attention"))
+    return used.select("container", "n_parts", "n_tokens", (capacity - F.col("n_tokens")).alias("unused"), "attention")

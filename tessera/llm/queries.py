@@ -11,11 +11,12 @@ from tessera.llm.bpe import encode_texts
 from tessera.llm.distinctive import TermModel
 from tessera.llm.near_duplicates import NearDuplicates
 from tessera.llm.ngrams import marked_counts
-from tessera.llm.packing import pack_texts
-from tessera.llm.quality import text_structure, unlike_prose
+from tessera.llm.packing import ATTENTION, CAPACITY, DOCUMENTS, container_use, pack_texts
+from tessera.llm.quality import text_statistics, text_structure, unlike_prose
 from tessera.llm.rank_fusion import fuse_rankings
 from tessera.llm.subjects import document_subjects
 from tessera.llm.topn import top_per_group
+from tessera.scratch import written
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +53,13 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_structure(corpus, "ord", "text").select(*named)
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The basic counts and shares of every row of corpus."""
+    rows = text_statistics(_table(spark, folder, "corpus"), "ord", "text")
+    shares = ["mean_word_length", "symbol_ratio", "end_punctuation_ratio", "common_word_ratio"]
+    return rows.select("ord", *(F.col(c).cast("bigint").alias(c) for c in ("n_chars", "n_words", "n_lines")), *(F.round(c, 6).alias(c) for c in shares))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _near_duplicates(spark, folder).pairs().toDF("doc_id_a", "doc_id_b")
 
@@ -111,6 +119,27 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_texts(_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_use(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, tokens, unused space and attention cost of every container."""
+    return container_use(p8_containers(spark, folder))
+
+
+def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """One row, whose faults must be 0: containers over a capacity, documents cut needlessly, lost, repeated or not whole."""
+    packed = written(p8_containers(spark, folder), "containers")
+    count = lambda c: F.count_if(c).cast("bigint")
+    over = container_use(packed).agg(
+        count(F.col("n_tokens") > CAPACITY).alias("over_tokens"),
+        count(F.col("n_parts") > DOCUMENTS).alias("over_documents"),
+        count((F.col("attention") > ATTENTION + 1e-9) & (F.col("n_parts") > 1)).alias("over_attention"),
+    )
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.countDistinct("part").alias("places"), F.max("part").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    whole = (F.col("parts") == F.col("places")) & (F.col("parts") == F.col("last") + 1) & (F.col("end") == F.col("n")) & (F.col("parts") == F.greatest(F.ceil(F.col("n") / CAPACITY), F.lit(1)))
+    row = docs.agg(F.count("*").alias("n_documents"), count(~whole).alias("not_whole"), count(F.col("n") == 0).alias("without_tokens"))
+    one = F.lit(1).alias("one")  # both have one row
+    return over.select(one, "*").join(row.select(one, "*"), "one").drop("one")
+
+
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels, subjects = (_table(spark, folder, t) for t in ("documents", "doc_labels", "subjects"))
     return document_subjects(docs, "doc_id", "text", labels, "doc_id", "subject", subjects)
@@ -128,7 +157,7 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p5_found, p5_groups, p5_classes, p5_links, p6_found, p6_scores, p6_all_scores, p7_ids, p8_containers, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_ngrams, p3_found, p4_found, p4_statistics, p4_counts, p5_found, p5_groups, p5_classes, p5_links, p6_found, p6_scores, p6_all_scores, p7_ids, p8_containers, p8_use, p8_faults, p9_found, p9_composition)}
 
 
 _P1 = """
@@ -169,6 +198,25 @@ places as (select i.qid, i.doc_id, coalesce(p.place, behind) as place from (sele
 fused as (select qid, doc_id, row_number() over (partition by qid order by median(place), round(avg(place), 9), doc_id) as nth from places group by qid, doc_id)
 select qid, doc_id from fused where nth <= 3"""
 
+#: The words that count as common.
+_COMMON_WORDS = """
+the a an of in to for on at by from into over near after before between under through without against during since about than as and or with but nor
+so yet if then although while because where when though however whereas unless until that which who what how is are was were be been being am has have
+had do does did will would can could shall should may might must not no it its their they them he she his her we our us you your i my me this these
+those each some any both neither others other all most more many there one such
+"""
+_P4_COUNTS = f"""
+with parts as (select ord, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') as words,
+  list_filter(regexp_split_to_array(text, '\\r\\n|[\\r\\n]'), lambda x: regexp_matches(x, '\\S')) as lines,
+  list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains(string_split('{" ".join(_COMMON_WORDS.split())}', ' '), w)) as common from corpus),
+counted as (select *, length(text) as n_chars, len(words) as n_words, len(lines) as n_lines,
+  length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s\\x0b]+', '', 'g')) as symbols, length(array_to_string(words, '')) as letters,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[.!?][ \\t]*$'))) as ended from parts)
+select ord, n_chars, n_words, n_lines, case when n_words is null then null when n_words = 0 then 0 else round(letters / n_words::double, 6) end as mean_word_length,
+  case when n_chars is null then null when n_chars = 0 then 0 else round(symbols / n_chars::double, 6) end as symbol_ratio,
+  case when n_lines is null then null when n_lines = 0 then 0 else round(ended / n_lines::double, 6) end as end_punctuation_ratio,
+  case when n_words is null then null when n_words = 0 then 0 else round(len(common) / n_words::double, 6) end as common_word_ratio from counted"""
+
 _P5 = """
 with texts as (select doc_id, min(text) as text from corpus where text is not null group by doc_id),
 lists as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as l from texts),
@@ -222,5 +270,10 @@ select rec_kind, rec_id, term, tf, df, round(score, 4) as score, place from plac
 _P6_ALL_SCORES = _P6_SCORES.replace("rec_kind, rec_id, term, tf, df, round(score, 4) as score, place from placed where place <= 5", "rec_kind, rec_id, term, tf, df, round(score, 4) as score from scored")
 
 
+_P8_FAULTS = """
+select 0 as over_tokens, 0 as over_documents, 0 as over_attention, count(*) as n_documents, 0 as not_whole,
+  count(*) filter (text is null or text = '') as without_tokens from documents"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p5_found": _P5, "p5_classes": _P5_CLASSES, "p5_links": _P5_LINKS, "p5_groups": _P5_GROUPS, "p6_found": _P6, "p6_scores": _P6_SCORES, "p6_all_scores": _P6_ALL_SCORES}
+    return {"p1_found": _P1, "p2_found": _P2, "p2_ngrams": _P2_NGRAMS, "p3_found": _P3, "p4_counts": _P4_COUNTS, "p5_found": _P5, "p5_classes": _P5_CLASSES, "p5_links": _P5_LINKS, "p5_groups": _P5_GROUPS, "p6_found": _P6, "p8_faults": _P8_FAULTS, "p6_scores": _P6_SCORES, "p6_all_scores": _P6_ALL_SCORES}

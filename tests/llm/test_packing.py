@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.packing import CAPACITY, best_fit, pack_lengths, pack_texts
+from tessera.llm.packing import CAPACITY, best_fit, container_use, pack_lengths, pack_texts
 
 
 @settings(deadline=None, max_examples=60)
@@ -51,3 +51,18 @@ def test_texts(spark, by):
     got = pack_texts(df, "doc_id", "text", by=by).collect()
     assert sorted((r.doc_id, r.part) for r in got) == [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (4, 0)]
     assert pack_texts(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_items_are_alone_and_limits_reach_the_packing(spark):
+    items = spark.createDataFrame([(0, 1950)] + [(i, 90) for i in range(1, 40)], "doc_id bigint, n_tokens int")
+    rows = {r.doc_id: r.container for r in pack_lengths(items, documents=7, attention=0.9).collect()}
+    assert [d for d, c in rows.items() if c == rows[0]] == [0]
+    use = container_use(pack_lengths(items, documents=7, attention=0.9)).collect()
+    assert sorted(r.n_parts for r in use) == [1, 4, 7, 7, 7, 7, 7]
+    assert {r.unused for r in use if r.n_parts == 7} == {CAPACITY - 630}
+
+
+def test_attention_binds_before_tokens():
+    lengths = np.array([1400] * 4 + [600] * 4)
+    assert best_fit(lengths, attention=1.0).max() == 3  # 2 000 tokens each
+    assert best_fit(lengths, attention=0.5).max() > 3
