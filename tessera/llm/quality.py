@@ -39,7 +39,7 @@ def _any_of(words: list[str]) -> str:
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.when(whole > 0, part / whole).when(whole.isNotNull(), F.lit(0.0))
 
 
 def _evaluated(df: DataFrame, *columns: Column) -> DataFrame:
@@ -102,7 +102,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _share(F.col("in_words"), total).alias("mean_word_length"),
         _share(F.col("symbols"), chars).alias("symbol_ratio"),
         F.col("n_lines"),
-        F.least(_share(F.col("ended"), F.col("n_lines")), F.lit(1.0)).alias("end_punctuation_ratio"),
+        F.when(F.col("n_lines").isNotNull(), F.least(_share(F.col("ended"), F.col("n_lines")), F.lit(1.0))).alias("end_punctuation_ratio"),
         _share(common, total).alias("common_word_ratio"),
         *(_share(F.col(f"w_{c}"), total).alias(f"w_{c}") for c in words),
         _share(F.greatest(total - known, F.lit(0)), total).alias("w_other_word"),
