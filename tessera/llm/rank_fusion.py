@@ -75,6 +75,24 @@ def _median(places: Column, half: Column) -> Column:
     return F.aggregate(places, state, step, lambda s: (s["low"] + F.coalesce(s["high"], s["low"])) / 2)
 
 
+ORDER = ["median_rank", "mean_rank", "item"]
+
+
+def _numbered(ranked: DataFrame) -> DataFrame:
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*ORDER)))
+
+
+def _numbered_in_ranges(ranked: DataFrame) -> DataFrame:
+    """The same for queries of any size: places within ranges of the order, plus the items of the earlier ranges."""
+    placed = ranked.repartitionByRange("query", *ORDER).sortWithinPartitions("query", *ORDER).withColumn("range", F.spark_partition_id())
+    placed = written(placed, "ranges")
+    sizes = placed.groupBy("query", "range").agg(F.count("*").alias("held"))
+    earlier = Window.partitionBy("query").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("query", "range", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    within = placed.withColumn("place", F.row_number().over(Window.partitionBy("query", "range").orderBy(*ORDER)))
+    return within.join(offsets, ["query", "range"]).withColumn("rank", (F.col("offset") + F.col("place")).cast("int")).drop("range", "offset", "place")
+
+
 def fuse_rankings(
     df: DataFrame, query_col: str, item_col: str, score: str, system: str, top: int | None = None, min_systems: int = 1, weights: dict[str, float] | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -122,8 +140,11 @@ def fuse_rankings(
     joined = joined.withColumn("filled", filled)
     mean = F.aggregate("filled", F.lit(0.0), lambda s, p: s + p["place"] * p["weight"]) / F.col("all")
     ranked = joined.select("query", "item", _median(F.col("filled"), F.col("all") / 2).alias("median_rank"), mean.alias("mean_rank"), F.size("places").alias("n_systems"))
-    order = Window.partitionBy("query").orderBy("median_rank", "mean_rank", "item")
-    ranked = ranked.withColumn("rank", F.row_number().over(order))
+    if some_hot and top is None:
+        ranked = written(ranked, "fused")
+        ranked = _numbered(ranked.join(hot, "query", "left_anti")).unionByName(_numbered_in_ranges(ranked.join(hot, "query", "left_semi")))
+    else:
+        ranked = _numbered(ranked)  # with a limit, each task passes on so many items per query at most
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.select(F.col("query").alias(query_col), F.col("item").alias(item_col), "median_rank", "mean_rank", "n_systems", "rank")
