@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.scratch import written
 
 #: Depth of nDCG and MAP, and the weights of the leaderboard.
 DEPTH = 10
 NDCG_WEIGHT, MAP_WEIGHT, EFFICIENCY_WEIGHT, SIZE_WEIGHT = 0.70, 0.10, 0.10, 0.10
+#: Settings that are sent to every task.
+BROADCAST_SETTINGS = 100_000
 METRICS = ["ndcg_10", "map_10", "mrr", "p_k"]
 
 
@@ -43,7 +48,7 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tupl
     judgments are left out.  nDCG and MAP have a depth of 10, only precision
     uses ``k``; with ``k`` 0 it is 0.  A query whose ideal is 0 has nDCG 0, one
     without relevant documents MAP 0.  ``settings`` lists the values of ``by``;
-    where it is absent they are read off the run, which computes it once more.
+    where it is absent they are those of the run, which is then computed once more.
     """
     ranked = dedup_keep_first(run, by)
     known = qrels.select("qid", "doc_id", "rel")
@@ -61,15 +66,13 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, k: int = DEPTH, by: tupl
     )
     asked = ideal_dcg(qrels)
     if by:
-        # Settings are few: a grid's points, never rows of data.
         if settings is None:
-            settings = [tuple(r) for r in run.select(*by).distinct().collect()]
-        kinds = [run.schema[c].dataType for c in by]
-        points = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, kinds, by, strict=True))) for row in settings]
-        if not points:
-            asked = asked.limit(0).select(*(F.lit(None).cast(t).alias(c) for t, c in zip(kinds, by, strict=True)), "*")
+            points = written(run.select(*by).distinct(), "settings")
         else:
-            asked = asked.withColumn("setting", F.explode(F.array(*points))).select(*(F.col(f"setting.{c}").alias(c) for c in by), "qid", "idcg", "n_relevant")
+            points = run.sparkSession.createDataFrame(settings, T.StructType([run.schema[c] for c in by]))
+        # Every setting has a row for every judged query, so that those a run lacks score 0.
+        few = settings is not None or points.count() <= BROADCAST_SETTINGS
+        asked = asked.join(F.broadcast(points) if few else points)
     joined = asked.join(sums, [*by, "qid"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return joined.select(

@@ -161,37 +161,43 @@ def bm25(queries: DataFrame, index: Index, k: int = 10, k1: float = K1, b: float
 # RM3
 
 
+def feedback_of(ranked: DataFrame, fb_docs: Column | int = FB_DOCS, keys: tuple[str, ...] = ("qid",), more: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys, more, ord, p)``: the first ``fb_docs`` of each ranking, weighted by their share of the scores."""
+    best = ranked.where(F.col("rank") <= fb_docs)
+    return best.select(*keys, *more, "ord", (F.col("score") / F.sum("score").over(Window.partitionBy(*keys))).alias("p"))
+
+
 def feedback_weights(first_pass: DataFrame, index: Index, fb_docs: int = FB_DOCS) -> DataFrame:
     """``(qid, ord, p)``: the best documents of a first pass, weighted by their share of the scores."""
-    best = top_k(first_pass, index, fb_docs)
-    return best.select("qid", "ord", (F.col("score") / F.sum("score").over(Window.partitionBy("qid"))).alias("p"))
+    return feedback_of(top_k(first_pass, index, fb_docs), fb_docs)
 
 
-def relevance_model(feedback: DataFrame, index: Index) -> DataFrame:
-    """``(qid, term, weight)``: the sum of p tf / dl over the kept terms of the feedback documents."""
-    held = feedback.join(index.lists, "ord").select("qid", "p", "dl", F.explode("terms").alias("t")).select("qid", "p", "dl", "t.*")
-    return held.groupBy("qid", "term").agg(F.sum(F.col("p") * F.col("tf") / F.col("dl")).alias("weight"))
+def relevance_model(feedback: DataFrame, index: Index, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """``(keys, term, weight)``: the sum of p tf / dl over the kept terms of the feedback documents."""
+    held = feedback.join(index.lists, "ord").select(*keys, "p", "dl", F.explode("terms").alias("t")).select(*keys, "p", "dl", "t.*")
+    return held.groupBy(*keys, "term").agg(F.sum(F.col("p") * F.col("tf") / F.col("dl")).alias("weight"))
 
 
-def expansion_terms(model: DataFrame, index: Index, fb_terms: int = FB_TERMS, min_idf: float = MIN_IDF) -> DataFrame:
-    """``(qid, term, weight)``: the strongest terms of an idf of at least ``min_idf``, ties by term."""
+def expansion_terms(model: DataFrame, index: Index, fb_terms: Column | int = FB_TERMS, min_idf: float = MIN_IDF, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """``(keys, term, weight)``: the strongest terms of an idf of at least ``min_idf``, ties by term."""
     known = model.join(index.terms.select("term", bm25_idf(index).alias("idf")), "term").where(F.col("idf") >= min_idf)
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("weight", 9)), F.asc("term"))
-    return known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fb_terms).select("qid", "term", "weight")
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("weight", 9)), F.asc("term"))
+    return known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fb_terms).select(*keys, "term", "weight")
 
 
-def mixed_weights(weights: DataFrame, kept: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``(qid, term, weight, expanded)`` of all queries.
+def mixed_weights(weights: DataFrame, kept: DataFrame, alpha: Column | float = ALPHA, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """``(keys, term, weight, expanded)`` of all queries.
 
     An expanded query has original and expansion terms, each side of weight 1,
     mixed by ``alpha``; one without an expansion keeps its weights.
     """
-    by_query = Window.partitionBy("qid")
-    own = weights.select("qid", "term", F.col("weight").alias("plain"), (F.col("weight") / F.sum("weight").over(by_query)).alias("own"))
-    more = kept.select("qid", "term", (F.col("weight") / F.sum("weight").over(by_query)).alias("more"))
-    both = own.join(more, ["qid", "term"], "full").withColumn("expanded", F.max(F.col("more").isNotNull()).over(by_query))
-    mixed = F.lit(alpha) * F.coalesce("own", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("more", F.lit(0.0))
-    return both.select("qid", "term", F.when(F.col("expanded"), mixed).otherwise(F.col("plain")).alias("weight"), "expanded")
+    by_query = Window.partitionBy(*keys)
+    own = weights.select(*keys, "term", F.col("weight").alias("plain"), (F.col("weight") / F.sum("weight").over(by_query)).alias("own"))
+    more = kept.select(*keys, "term", (F.col("weight") / F.sum("weight").over(by_query)).alias("more"))
+    both = own.join(more, [*keys, "term"], "full").withColumn("expanded", F.max(F.col("more").isNotNull()).over(by_query))
+    alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+    mixed = alpha * F.coalesce("own", F.lit(0.0)) + (1 - alpha) * F.coalesce("more", F.lit(0.0))
+    return both.select(*keys, "term", F.when(F.col("expanded"), mixed).otherwise(F.col("plain")).alias("weight"), "expanded")
 
 
 def expanded_queries(weights: DataFrame, kept: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -246,9 +252,15 @@ def fill_to_k(ranked: DataFrame, queries: DataFrame, index: Index, k: int = 10)
     return real.unionByName(free.select("qid", "ord", "doc_id", score.alias("score"), F.col("rank").cast("int").alias("rank")))
 
 
+def run_faults(run: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, qid, n, docs)`` of the queries that have more than ``k`` rows or a document twice."""
+    sizes = run.groupBy(*by, "qid").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return sizes.where((F.col("n") > k) | (F.col("docs") < F.col("n")))
+
+
 def checked_run(run: DataFrame, k: int) -> DataFrame:
     """``run`` itself, if every query has at most ``k`` rows and no document twice; else an error."""
-    bad = run.groupBy("qid").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where((F.col("n") > k) | (F.col("docs") < F.col("n"))).head(1)
+    bad = run_faults(run, k).head(1)
     if bad:
         raise ValueError(f"query {bad[0]['qid']} has {bad[0]['n']} rows of {bad[0]['docs']} documents, {k} at most are allowed")
     return run

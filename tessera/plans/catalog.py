@@ -9,7 +9,6 @@ topic, system, document and score.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +71,7 @@ def index_of(spark: SparkSession, folder: str, analyzer: Analyzer = Analyzer())
     return _indexes[key]
 
 
+SYSTEM = ("run_tag",)
 ENTRY = Analyzer(title_boost=rk.ENTRY_TITLE_BOOST)
 
 
@@ -172,7 +172,18 @@ def document_frequency_lookup(spark, folder):
 
 @_query
 def postings_lookup(spark, folder):
-    return index_of(spark, folder).postings_of(["result", "method", "group"])
+    """Postings of every term of the topics."""
+    index = index_of(spark, folder)
+    asked = index.analyzed(topics(spark, folder)).groupBy("term").agg(F.min("term").alias("qid"))
+    return rk.matching_postings(asked, index, F.col("tf")).select(F.col("qid").alias("term"), "ord", "tf")
+
+
+@_query
+def forward_lookup(spark, folder):
+    """Kept terms of the judged documents."""
+    index = index_of(spark, folder)
+    asked = index.docs.join(judgments(spark, folder).select("doc_id").distinct(), "doc_id", "left_semi").select("ord", "doc_id")
+    return asked.join(index.forward, "ord").select("doc_id", "term", "tf")
 
 
 # Ranking
@@ -278,7 +289,8 @@ def fill_to_k(spark, folder):
 
 @_query
 def validate_run_duplicates(spark, folder):
-    return run_rows(spark, folder).groupBy("run_tag", "qid", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    """Queries of the given runs that a check refuses: over 100 rows, or a document twice."""
+    return rk.run_faults(run_rows(spark, folder), 100, SYSTEM)
 
 
 @_query
@@ -291,11 +303,10 @@ def trec_run_lines(spark, folder):
 
 @_query
 def trec_run_roundtrip(spark, folder):
-    """One system's rows written as a run file and read again."""
-    own = run_rows(spark, folder).where("run_tag = 'bm25-k1.5'")
-    path = new_path(spark, "run")
-    files.write_run(own, path, "tessera")
-    return files.read_run(spark, path).selectExpr("qid", "doc_id", RANK)
+    """Every system's rows written as a run file of its own and read again."""
+    path = new_path(spark, "runs")
+    files.write_runs(run_rows(spark, folder), path, "run_tag", "tessera")
+    return files.read_runs(spark, path, "run_tag").selectExpr("run_tag", "qid", "doc_id", RANK)
 
 
 @_query
@@ -315,88 +326,32 @@ def queries_parse(spark, folder):
 # Metrics
 
 
-def _own_run(spark, folder):
-    return run_rows(spark, folder).where("run_tag = 'bm25-k1.5'").select("qid", "doc_id", "rank")
-
-
-def _metric(name: str, column: str) -> None:
-    def f(spark, folder):
-        per = ev.per_query_metrics(_own_run(spark, folder), judgments(spark, folder))
-        return per.select("qid", F.round(column, 6).alias(column))
-
-    QUERIES[name] = f
-
-
-for _name, _column in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
-    _metric(_name, _column)
-
-
-@_query
-def dedup_keep_first(spark, folder):
-    return ev.dedup_keep_first(_own_run(spark, folder)).selectExpr("qid", "doc_id", RANK)
-
-
-@_query
-def evaluate_run_aggregate(spark, folder):
-    return _means(ev.evaluate_run(_own_run(spark, folder), judgments(spark, folder)))
-
-
-# The same for every system, not only for the one that the queries above name.
-
-SYSTEM = ("run_tag",)
-
-
 def _all_runs(spark, folder):
     return run_rows(spark, folder).select("run_tag", "qid", "doc_id", "rank")
 
 
-def _system_metric(name: str, column: str) -> None:
+def _metric(name: str, column: str) -> None:
     def f(spark, folder):
         per = ev.per_query_metrics(_all_runs(spark, folder), judgments(spark, folder), by=SYSTEM)
         return per.select("run_tag", "qid", F.round(column, 6).alias(column))
 
-    QUERIES[f"{name}_by_system"] = f
+    QUERIES[name] = f
 
 
 for _name, _column in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
-    _system_metric(_name, _column)
+    _metric(_name, _column)
 
 
 @_query
-def dedup_keep_first_by_system(spark, folder):
+def dedup_keep_first(spark, folder):
     return ev.dedup_keep_first(_all_runs(spark, folder), SYSTEM).selectExpr("run_tag", "qid", "doc_id", RANK)
 
 
 @_query
-def evaluate_run_aggregate_by_system(spark, folder):
+def evaluate_run_aggregate(spark, folder):
     return _means(ev.evaluate_run(_all_runs(spark, folder), judgments(spark, folder), by=SYSTEM))
 
 
-@_query
-def trec_run_roundtrip_by_system(spark, folder):
-    """Every system's rows written as a run file of its own and read again."""
-    rows = written(run_rows(spark, folder), "runs")
-    systems = sorted(r.run_tag for r in rows.select("run_tag").distinct().collect())
-    read = []
-    for tag in systems:
-        path = new_path(spark, "run")
-        files.write_run(rows.where(F.col("run_tag") == tag), path, "tessera")
-        read.append(files.read_run(spark, path).select(F.lit(tag).alias("run_tag"), "qid", "doc_id", F.expr(RANK)))
-    return reduce(DataFrame.unionByName, read) if read else rows.select("run_tag", "qid", "doc_id", F.expr(RANK))
-
-
-@_query
-def run_report_by_system(spark, folder):
-    """A JSON report of every system's run."""
-    runs, qrels = written(_all_runs(spark, folder), "runs"), judgments(spark, folder)
-    per = written(ev.per_query_metrics(runs, qrels, by=SYSTEM), "per-query")
-    reports = []
-    for tag in sorted(r.run_tag for r in runs.select("run_tag").distinct().collect()):
-        own = per.where(F.col("run_tag") == tag).drop("run_tag")
-        reports.append(files.report(ev.aggregate_metrics(own), own).select(F.lit(tag).alias("run_tag"), "value"))
-    return reduce(DataFrame.unionByName, reports) if reports else runs.select("run_tag", F.lit("").alias("value"))
-
-
 @_query
 def skipped_no_qrels(spark, folder):
     return ev.skipped_queries(topics(spark, folder), judgments(spark, folder))
@@ -464,10 +419,17 @@ def vbyte_roundtrip(spark, folder):
 
 @_query
 def gap_tf_flag_streams(spark, folder):
-    """Whole streams as text; lists of more than one block would be joined in order of block."""
-    blocks = codec.encode_streams(index_of(spark, folder).postings, 1 << 40)
+    """The streams of every block of documents as text."""
+    blocks = codec.encode_streams(index_of(spark, folder).postings, 256)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
-    return blocks.select("term", text("gap_stream"), text("tf_stream"))
+    return blocks.select("term", F.col("block").cast("bigint").alias("block"), text("gap_stream"), text("tf_stream"))
+
+
+@_query
+def interleaved_streams(spark, folder):
+    """The interleaved stream of every block of documents as text."""
+    blocks = codec.encode_interleaved(index_of(spark, folder).postings, 256)
+    return blocks.select("term", F.col("block").cast("bigint").alias("block"), F.array_join(F.col("data").cast("array<string>"), " ").alias("data"))
 
 
 @_query
@@ -520,20 +482,32 @@ def _grid(spark, folder):
 
 @_query
 def rm3_cv_folds(spark, folder):
-    return _rounded(ex.cross_validate(_grid(spark, folder)), "train_ndcg", "held_out_ndcg")
+    """Five folds of the judged topics: the setting that the others choose, its nDCG and that of plain BM25."""
+    plain = rk.bm25(topics(spark, folder), index_of(spark, folder), 10, 2.0, 0.6)
+    baseline = ev.per_query_metrics(plain, judgments(spark, folder))
+    return _rounded(ex.cross_validate(_grid(spark, folder), baseline), "train_ndcg", "held_out_ndcg", "baseline_ndcg")
 
 
 @_query
 def rm3_robust_pick(spark, folder):
-    return _rounded(ex.robust_settings(_grid(spark, folder)), "worst_fold", "mean_ndcg")
+    return _rounded(ex.robust_settings(_grid(spark, folder)), "worst_fold", "mean_ndcg").selectExpr("* except (place)", "cast(place as bigint) as place")
+
+
+def _datasets(spark, folder):
+    """The collection with and without the title's weight; the tables hold only one collection that has judgments."""
+    asked, qrels = topics(spark, folder), judgments(spark, folder)
+    return ex.cross_dataset({"plain": (asked, index_of(spark, folder), qrels), "titled": (asked, index_of(spark, folder, ENTRY), qrels)})
+
+
+@_query
+def cross_dataset_table(spark, folder):
+    """nDCG and MAP of every configuration on every dataset."""
+    return _rounded(_datasets(spark, folder), "ndcg_10", "map_10")
 
 
 @_query
 def cross_dataset_summary(spark, folder):
-    """All configurations on the collection with and without the title's weight, as two datasets."""
-    asked, qrels = topics(spark, folder), judgments(spark, folder)
-    datasets = {"plain": (asked, index_of(spark, folder), qrels), "titled": (asked, index_of(spark, folder, ENTRY), qrels)}
-    return _rounded(ex.cross_dataset_summary(ex.cross_dataset(datasets)), "mean_ndcg", "worst_ndcg")
+    return _rounded(ex.cross_dataset_summary(_datasets(spark, folder)), "mean_ndcg", "worst_ndcg")
 
 
 @_query
@@ -543,7 +517,8 @@ def dataset_stats(spark, folder):
 
 def _analysis(spark, folder):
     rows = ex.error_analysis(topics(spark, folder), index_of(spark, folder), judgments(spark, folder))
-    return _rounded(rows, "ndcg_bm25", "ndcg_rm3", "delta")
+    lists = {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("query_terms", "top_grades", "expansion")}
+    return _rounded(rows.withColumns(lists), "ndcg_bm25", "ndcg_rm3", "delta")
 
 
 @_query
@@ -551,17 +526,27 @@ def error_analysis_per_query(spark, folder):
     return _analysis(spark, folder)
 
 
+@_query
+def rm3_worst_topics(spark, folder):
+    """The ten topics of the lowest nDCG."""
+    return ex.worst_queries(_analysis(spark, folder), 10)
+
+
 @_query
 def rm3_regressions(spark, folder):
-    """The ten queries that lose most by expansion."""
+    """The ten topics that lose most by expansion."""
     return ex.worst_queries(_analysis(spark, folder), 10, "delta")
 
 
 @_query
 def run_report(spark, folder):
-    """One JSON report of one system's run."""
-    per = ev.per_query_metrics(_own_run(spark, folder), judgments(spark, folder))
-    return files.report(ev.aggregate_metrics(per), per)
+    """The JSON report of every system's run, read again: means, number of queries, and queries with a relevant document on top."""
+    per = written(ev.per_query_metrics(_all_runs(spark, folder), judgments(spark, folder), by=SYSTEM), "per-query")
+    text = files.report(ev.aggregate_metrics(per, SYSTEM), per, SYSTEM)
+    kinds = "aggregate_metrics struct<ndcg_10:double,map_10:double,mrr:double,p_k:double,num_queries:bigint>, per_query_metrics map<string,struct<mrr:double>>"
+    rows = text.select("run_tag", F.from_json("value", kinds).alias("r"))
+    hits = F.size(F.filter(F.map_values("r.per_query_metrics"), lambda m: m["mrr"] == 1)).cast("bigint").alias("first_relevant")
+    return _means(rows.select("run_tag", "r.aggregate_metrics.*", F.size("r.per_query_metrics").cast("bigint").alias("listed"), hits))
 
 
 def queries() -> dict[str, Query]:

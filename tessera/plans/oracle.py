@@ -6,8 +6,33 @@ tables; it shares no code with the plans it checks.
 
 from __future__ import annotations
 
-from tessera.functions.porter import STEP_2, STEP_3, STEP_4
-from tessera.functions.text import STOPWORDS
+#: Fixed values, written out here once more so that a wrong one shows.
+STOPWORDS = """
+a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does
+doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me
+more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their
+theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will
+with would you your yours yourself yourselves
+""".split()
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli":
+    "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness":
+    "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEP_3 = {
+    "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+}
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+K1_GRID = [0.0, 0.3, 0.6, 0.9, 1.2, 1.5, 1.8, 2.1, 2.5, 3.0]
+B_GRID = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0]
+JOINT_K1 = [0.6, 0.8, 0.9, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0]
+JOINT_B = [0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9]
+RM3_GRID = [(2.0, 0.6, docs, terms, alpha) for docs in (10, 20, 30, 40, 50) for terms in (10, 20, 30, 50) for alpha in (0.3, 0.4, 0.5, 0.6)]
+CONFIGS = [
+    (0.9, 0.4), (1.2, 0.75), (1.5, 0.75), (2.0, 0.6),
+    (1.2, 0.75, 10, 10, 0.5), (1.2, 0.75, 10, 20, 0.6), (1.2, 0.75, 40, 30, 0.4),
+    (2.0, 0.6, 10, 10, 0.5), (2.0, 0.6, 10, 20, 0.6), (2.0, 0.6, 40, 30, 0.4),
+]
 
 TOPK = 10
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -181,12 +206,65 @@ def _sweep(points: list[tuple[float, float]], select: str) -> str:
     )
 
 
-def oracle_sql() -> dict[str, str]:
-    from tessera.plans.experiments import B_GRID, JOINT_B, JOINT_K1, K1_GRID
+def _label(config: tuple) -> str:
+    return f"bm25 {config[0]}/{config[1]}" + (f" rm3 {config[2]}/{config[3]}/{config[4]}" if len(config) > 2 else "")
+
+
+def _configured(configs: list[tuple], boost: int = 1) -> list[str]:
+    """m(config, qid, ndcg_10, map_10 ...) and cfg(config, k1, b, docs, terms, alpha) of several configurations, without feedback where docs is null."""
+    rows = ", ".join(f"('{_label(c)}', {c[0]}::double, {c[1]}::double, " + (", ".join(map(str, c[2:])) if len(c) > 2 else "null, null, null") + ")" for c in configs)
+    return [
+        *_index(boost=boost),
+        _QRELS,
+        f"cfg(config, k1, b, docs, terms, alpha) as (values {rows})",
+        "points as (select distinct k1, b from cfg)",
+        "hits as (select qid, ord, tf, dl, sum(weight * idf) as w from qweight join idfs using (term) join dterm using (term) group by qid, ord, tf, dl)",
+        "ss as (select k1, b, qid, ord, sum(w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) as score from hits, points, size group by k1, b, qid, ord)",
+        _top("top1", "ss", 50, "k1, b, qid"),
+        "fb as (select config, qid, ord, score / sum(score) over (partition by config, qid) as p from top1 join cfg using (k1, b) where rank <= docs)",
+        "fwd as (select ord, term, tf, dl from (select *, row_number() over (partition by ord order by tf desc, first_pos) as rank from dterm) where rank <= 24)",
+        "model as (select config, qid, term, sum(p * tf / dl) as weight from fb join fwd using (ord) group by config, qid, term)",
+        """kept as (select config, qid, term, weight from (select m.*, terms, row_number() over (partition by config, qid order by round(weight, 9) desc, term) as place
+          from model m join idfs using (term) join cfg using (config) where idf >= 0.5) where place <= terms)""",
+        "grown as (select distinct config, qid from kept)",
+        """wide as (select config, qid, term, sum(weight) as weight from (
+          select config, qid, term, alpha * weight / sum(weight) over (partition by config, qid) as weight from qweight join grown using (qid) join cfg using (config)
+          union all select config, qid, term, (1 - alpha) * weight / sum(weight) over (partition by config, qid) from kept join cfg using (config)) group by config, qid, term
+          union all select config, qid, term, weight from qweight, cfg where docs is not null and (config, qid) not in (select (config, qid) from grown))""",
+        """s2 as (select config, qid, ord, sum(weight * idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))) as score
+          from wide join idfs using (term) join cfg using (config) join dterm using (term), size where weight > 0 group by config, qid, ord)""",
+        _top("top2", "s2", TOPK, "config, qid"),
+        "runs as (select config, qid, doc_id, rank from top2 union all select config, qid, doc_id, rank from top1 join cfg using (k1, b) where docs is null and rank <= 10)",
+        *_measured("m", "runs", "config"),
+    ]
+
+
+def _analysis() -> list[str]:
+    """topic rows with both models' nDCG, the grades of the second and what it added."""
+    return [
+        *_rm3(2.0, 0.6), _QRELS,
+        "base10 as (select * from top1 where rank <= 10)", *_measured("ma", "base10"), *_measured("mb", "top2"),
+        "qlist as (select qid, string_agg(term, ' ' order by pos) as query_terms from qocc group by qid)",
+        "nrel as (select qid, sum(case when rel > 0 then 1 else 0 end) as n_relevant from judged group by qid)",
+        "graded as (select qid, string_agg(coalesce(rel, 0)::varchar, ' ' order by rank) as top_grades, sum(case when rel is null then 1 else 0 end) as unjudged from top2 left join judged using (qid, doc_id) group by qid)",
+        """added as (select qid, string_agg(term, ' ' order by place) as expansion from (select qid, term, row_number() over (partition by qid order by round(weight, 9) desc, term desc) as place
+          from kept where (qid, term) not in (select (qid, term) from qweight)) where place <= 12 group by qid)""",
+        """analysis as (select qid, text, coalesce(query_terms, '') as query_terms, coalesce(nrel.n_relevant, 0) as n_relevant, round(coalesce(ma.ndcg_10, 0), 6) as ndcg_bm25, round(coalesce(mb.ndcg_10, 0), 6) as ndcg_rm3,
+          round(coalesce(mb.ndcg_10, 0) - coalesce(ma.ndcg_10, 0), 6) as delta, coalesce(top_grades, '') as top_grades, coalesce(unjudged, 0) as unjudged, coalesce(expansion, '') as expansion
+          from topics left join qlist using (qid) left join nrel using (qid) left join ma using (qid) left join mb using (qid) left join graded using (qid) left join added using (qid))""",
+    ]
+
 
+def oracle_sql() -> dict[str, str]:
     plain, stemmed = _index(stem=False), _index()
-    given = [_QRELS, _RUN, "mine as (select qid, doc_id, rank from given where run_tag = 'bm25-k1.5')"]
-    measured = [*given, *_measured("m", "mine")]
+    measured = [_QRELS, _RUN, "runs as (select run_tag, qid, doc_id, rank from given)", *_measured("m", "runs", "run_tag")]
+    grid = [
+        *_configured(RM3_GRID),
+        "judged_qids as (select qid, (row_number() over (order by qid) - 1) % 5 as fold from (select distinct qid from judged))",
+        "parts as (select config, fold, sum(ndcg_10) as s, count(*) as n from m join judged_qids using (qid) group by config, fold)",
+        "each as (select *, docs as fb_docs, terms as fb_terms from parts join cfg using (config))",
+    ]
+    datasets = " union all ".join(f"select * from ({_sql(_configured(CONFIGS, boost), f'select config, {name!r} as dataset, avg(ndcg_10) as ndcg_10, avg(map_10) as map_10 from m group by config')})" for name, boost in (("plain", 1), ("titled", 2)))
     sql = {
         "bm25_top10_nostem": _sql([*plain, _scored("s", "qweight", 1.2, 0.75), _top("top", "s")], _RANKED + "top"),
         "tokenize_counts": _sql([_COLLECTION, _tokens("t", "doc_id", "coll")], "select doc_id, count(*) as n_tokens, count(distinct token) as n_types from t group by doc_id"),
@@ -204,7 +282,8 @@ def oracle_sql() -> dict[str, str]:
             [*stemmed, "asked as (select distinct word from (select unnest(string_split(text, ' ')) as word from topics))", _tokens("wt", "word", "(select word, word as text from asked)"), f"wk as (select word, token from wt where token not in ({_STOP}))", "ws as (select word, count(*) as n, any_value(term) as term from wk join stems using (token) group by word)"],
             "select word, coalesce(df, 0) as df from asked left join (select word, df from ws join terms using (term) where n = 1) using (word)",
         ),
-        "postings_lookup": _sql(stemmed, "select term, ord, tf from dterm where term in ('result', 'method', 'group')"),
+        "postings_lookup": _sql(stemmed, "select term, ord, tf from dterm where term in (select term from qterm)"),
+        "forward_lookup": _sql([*stemmed, _QRELS], "select doc_id, term, tf from (select *, row_number() over (partition by ord order by tf desc, first_pos) as rank from dterm) join docs using (ord) where rank <= 24 and doc_id in (select doc_id from judged)"),
         "boolean_and": _sql(stemmed, "select qid, doc_id from (select qid, ord, count(*) as held from qterm join dterm using (term) group by qid, ord) join (select qid, count(*) as needed from qterm group by qid) using (qid) join docs using (ord) where held = needed"),
         "boolean_or": _sql(stemmed, "select distinct qid, doc_id from qterm join dterm using (term) join docs using (ord)"),
         "vsm_doc_norms": _sql([*stemmed, *_VSM], "select ord, round(norm, 6) as norm from norms"),
@@ -224,13 +303,30 @@ def oracle_sql() -> dict[str, str]:
              "free as (select qid, doc_id, floor * 1e-6 - place * 1e-9 as score, n + row_number() over (partition by qid order by place) as rank from state, (select * from filler where place < 20) f where n < 10 and (qid, ord) not in (select (qid, ord) from top))"],
             "select qid, doc_id, round(score, 4) as score, rank from (select qid, doc_id, score, rank from top union all select qid, doc_id, score, rank from free where rank <= 10)",
         ),
-        "validate_run_duplicates": _sql([_RUN], "select run_tag, qid, doc_id, count(*) as n from given group by run_tag, qid, doc_id having count(*) > 1"),
+        "validate_run_duplicates": _sql([_RUN], "select run_tag, qid, count(*) as n, count(distinct doc_id) as docs from given group by run_tag, qid having count(*) > 100 or count(distinct doc_id) < count(*)"),
         "trec_run_lines": _sql(_ENTRY, "select qid, rank, qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.4f', round(score, 4)) || ' tessera' as value from top"),
-        "trec_run_roundtrip": _sql([_RUN], "select qid, doc_id, row_number() over (partition by qid order by round(score, 6) desc, rank) as rank from given where run_tag = 'bm25-k1.5'"),
+        "trec_run_roundtrip": _sql([_RUN], "select run_tag, qid, doc_id, row_number() over (partition by run_tag, qid order by round(score, 6) desc, rank) as rank from given"),
         "qrels_parse": _sql([_QRELS], "select qid, doc_id, rel from judged"),
         "queries_parse": _sql([_TOPICS], "select qid, replace(text, chr(10), ' ') as text from topics"),
-        "dedup_keep_first": _sql([*given, *_measured("m", "mine")], "select qid, doc_id, rank from m_one"),
-        "evaluate_run_aggregate": _sql(measured, f"select {_MEANS} from m"),
+        "dedup_keep_first": _sql(measured, "select run_tag, qid, doc_id, rank from m_one"),
+        "evaluate_run_aggregate": _sql(measured, f"select run_tag, {_MEANS} from m group by run_tag"),
+        "run_report": _sql(measured, f"select run_tag, {_MEANS}, count(*) as listed, count(*) filter (mrr = 1) as first_relevant from m group by run_tag"),
+        "rm3_cv_folds": _sql(
+            [*grid, "trained as (select *, (sum(s) over (partition by config) - s) / (sum(n) over (partition by config) - n) as others from each)",
+             "best as (select *, row_number() over (partition by fold order by round(others, 9) desc, fb_docs, fb_terms, alpha) as place from trained)",
+             _scored("sb", "qweight", 2.0, 0.6), _top("tb", "sb"), *_measured("mb", "tb"), "plain as (select fold, avg(ndcg_10) as baseline_ndcg from mb join judged_qids using (qid) group by fold)"],
+            "select fold, fb_docs, fb_terms, alpha::double as alpha, round(others, 6) as train_ndcg, round(s / n, 6) as held_out_ndcg, round(baseline_ndcg, 6) as baseline_ndcg from best join plain using (fold) where place = 1",
+        ),
+        "rm3_robust_pick": _sql(
+            [*grid, "pts as (select fb_docs, fb_terms, alpha, sum(s) / sum(n) as mean_ndcg, min(s / n) as worst_fold from each group by fb_docs, fb_terms, alpha)",
+             "placed as (select *, row_number() over (order by round(mean_ndcg, 9) desc, fb_docs, fb_terms, alpha) as place, row_number() over (order by round(worst_fold, 9) desc, fb_docs, fb_terms, alpha) = 1 as robust from pts)"],
+            "select fb_docs, fb_terms, alpha::double as alpha, round(mean_ndcg, 6) as mean_ndcg, round(worst_fold, 6) as worst_fold, place, robust from placed where place <= 12 or robust",
+        ),
+        "cross_dataset_table": f"select config, dataset, round(ndcg_10, 6) as ndcg_10, round(map_10, 6) as map_10 from ({datasets})",
+        "cross_dataset_summary": f"select config, round(avg(ndcg_10), 6) as mean_ndcg, round(min(ndcg_10), 6) as worst_ndcg from ({datasets}) group by config",
+        "error_analysis_per_query": _sql(_analysis(), "select * from analysis"),
+        "rm3_worst_topics": _sql(_analysis(), "select * from analysis order by ndcg_rm3, qid limit 10"),
+        "rm3_regressions": _sql(_analysis(), "select * from analysis order by delta, qid limit 10"),
         "skipped_no_qrels": "select distinct qid from queries_dev where qid not in (select qid from qrels where rel is not null)",
         "provisional_score": _sql([_QRELS, _RUN, "runs as (select run_tag, qid, doc_id, rank from given)", *_measured("m", "runs", "run_tag")], "select run_tag, round(0.7 * avg(ndcg_10) + 0.1 * avg(map_10), 6) as provisional from m group by run_tag"),
         "efficiency_modifier": _sql(
@@ -251,7 +347,11 @@ def oracle_sql() -> dict[str, str]:
         "vbyte_roundtrip": _sql([*stemmed, _GAPS], "select term, ord, gap from gaps"),
         "gap_tf_flag_streams": _sql(
             [*stemmed, _GAPS, f"flagged as (select term, ord, array_to_string({_bytes('gap * 2 + case when tf > 1 then 1 else 0 end')}, ' ') as g, case when tf > 1 then array_to_string({_bytes('tf - 2')}, ' ') end as t from gaps)"],
-            "select term, string_agg(g, ' ' order by ord) as gap_stream, coalesce(string_agg(t, ' ' order by ord), '') as tf_stream from flagged group by term",
+            "select term, ord // 256 as block, string_agg(g, ' ' order by ord) as gap_stream, coalesce(string_agg(t, ' ' order by ord), '') as tf_stream from flagged group by term, ord // 256",
+        ),
+        "interleaved_streams": _sql(
+            [*stemmed, _GAPS, f"pairs as (select term, ord, array_to_string({_bytes('gap')}, ' ') || ' ' || array_to_string({_bytes('tf')}, ' ') as d from gaps)"],
+            "select term, ord // 256 as block, string_agg(d, ' ' order by ord) as data from pairs group by term, ord // 256",
         ),
         "gap_stream_decode": _sql(stemmed, "select term, ord, tf from dterm"),
         "interleaved_decode": _sql(stemmed, "select term, ord, tf from dterm"),
@@ -268,11 +368,5 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     for name, metric in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
-        sql[name] = _sql(measured, f"select qid, round({metric}, 6) as {metric} from m")
-    each = [_QRELS, _RUN, "runs as (select run_tag, qid, doc_id, rank from given)", *_measured("m", "runs", "run_tag")]
-    for name, metric in (("ndcg_at_10", "ndcg_10"), ("map_at_10", "map_10"), ("mrr", "mrr"), ("precision_at_10", "p_k")):
-        sql[f"{name}_by_system"] = _sql(each, f"select run_tag, qid, round({metric}, 6) as {metric} from m")
-    sql["dedup_keep_first_by_system"] = _sql(each, "select run_tag, qid, doc_id, rank from m_one")
-    sql["evaluate_run_aggregate_by_system"] = _sql(each, f"select run_tag, {_MEANS} from m group by run_tag")
-    sql["trec_run_roundtrip_by_system"] = _sql([_RUN], "select run_tag, qid, doc_id, row_number() over (partition by run_tag, qid order by round(score, 6) desc, rank) as rank from given")
+        sql[name] = _sql(measured, f"select run_tag, qid, round({metric}, 6) as {metric} from m")
     return sql

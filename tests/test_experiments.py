@@ -44,14 +44,16 @@ def table(spark, scores):
 
 def test_cross_validation_picks_on_the_other_folds(spark):
     per = table(spark, {(0.3, "a"): 1.0, (0.3, "b"): 0.0, (0.6, "a"): 0.0, (0.6, "b"): 0.5})
-    rows = {r.fold: (r.alpha, r.held_out_ndcg) for r in ex.cross_validate(per, folds=2).collect()}
-    assert rows == {0: (0.6, 0.0), 1: (0.3, 0.0)}
+    plain = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "qid string, ndcg_10 double")
+    rows = {r.fold: (r.alpha, r.held_out_ndcg, r.baseline_ndcg) for r in ex.cross_validate(per, plain, folds=2).collect()}
+    assert rows == {0: (0.6, 0.0, 0.25), 1: (0.3, 0.0, 0.75)}
 
 
 def test_the_robust_setting_has_the_best_worst_fold(spark):
     per = table(spark, {(0.3, "a"): 1.0, (0.3, "b"): 0.1, (0.6, "a"): 0.4, (0.6, "b"): 0.3})
-    first = ex.robust_settings(per, folds=2).first()
-    assert (first.alpha, first.worst_fold) == (0.6, 0.3)
+    rows = {r.alpha: (r.place, r.robust, r.worst_fold) for r in ex.robust_settings(per, folds=2).collect()}
+    assert rows == {0.3: (1, False, 0.1), 0.6: (2, True, 0.3)}
+    assert ex.robust_settings(per, folds=2, first=1).count() == 2  # the best mean and, beyond it, the robust one
 
 
 def test_cross_dataset(setup):
@@ -73,7 +75,8 @@ def test_dataset_stats(setup):
 def test_error_analysis(setup):
     index, queries, qrels = setup
     rows = {r.qid: r for r in ex.error_analysis(queries, index, qrels).collect()}
-    assert set(rows) == {"q1", "q2", "q3"} and rows["q1"].n_relevant == 2
+    assert set(rows) == {r.qid for r in queries.collect()} and rows["q1"].n_relevant == 2
+    assert rows["q1"].query_terms == ["red", "fox"]
     assert len(rows["q1"].top_grades) == rows["q1"].unjudged + sum(1 for d in ("d1", "d4") if d)
     assert not {"red", "fox"} & set(rows["q1"].expansion)
     worst = ex.worst_queries(ex.error_analysis(queries, index, qrels), 1).first()

@@ -54,9 +54,15 @@ def test_report(spark):
     run = spark.createDataFrame([("q", "a", 1)], "qid string, doc_id string, rank int")
     qrels = spark.createDataFrame([("q", "a", 1), ("r", "a", 1)], "qid string, doc_id string, rel int")
     per = ev.per_query_metrics(run, qrels)
-    extra = spark.createDataFrame([(1.5,)], "build_seconds double")
-    got = json.loads(files.report(ev.aggregate_metrics(per), per, efficiency=extra).first().value)
-    assert got["aggregate"]["mrr"] == 0.5 and got["per_query"]["r"]["num_ranked"] == 0 and got["efficiency"] == {"build_seconds": 1.5}
+    got = json.loads(files.report(ev.aggregate_metrics(per), per).first().value)
+    assert got["aggregate_metrics"]["mrr"] == 0.5 and got["per_query_metrics"]["r"]["num_ranked"] == 0
+
+
+def test_runs_of_several_systems(spark, tmp_path):
+    rows = [("x", "q", "a", 1, 0.5), ("x", "q", "b", 2, 0.25), ("y z", "q", "a", 1, -1.0)]
+    files.write_runs(spark.createDataFrame(rows, "system string, qid string, doc_id string, rank int, score double"), str(tmp_path / "runs"), "system", "t")
+    table = files.read_runs(spark, str(tmp_path / "runs"), "system")
+    assert sorted(tuple(r)[:5] for r in table.collect()) == [("x", "q", "a", 0.5, 1), ("x", "q", "b", 0.25, 2), ("y z", "q", "a", -1.0, 1)]
 
 
 def test_directory_bytes(spark, tmp_path):
