@@ -277,15 +277,15 @@ class NearDuplicates:
         # Pairs are of the numbers that rows of this table get once and for all: eight bytes, however long the ids are.
         first = first.select("key", "first.rec_id", "members", "first.words").withColumn("num", F.monotonically_increasing_id())
         first = written(first, "classes")
-        lists = first.select("num", F.split("words", " ").alias("terms")).select("num", shingles(F.col("terms"), size).alias("shingles"))
-        signed = written(lists.mapInArrow(_signed, f"num bigint, v binary, {', '.join(f'{c} bigint' for c in SKETCH)}"), "signatures")
+        listed = lambda rows: rows.select("num", F.split("words", " ").alias("terms")).select("num", shingles(F.col("terms"), size).alias("shingles"))
+        signed = written(listed(first).mapInArrow(_signed, f"num bigint, v binary, {', '.join(f'{c} bigint' for c in SKETCH)}"), "signatures")
         pairs, crowded = forest_candidates(signed, trees, room)
         crowded = written(crowded, "crowded")
         if crowded.head(1):
-            pairs = pairs.unionByName(exact_candidates(written(lists.join(crowded, "num"), "crowded-lists"), threshold))
+            pairs = pairs.unionByName(exact_candidates(written(listed(first.join(crowded, "num")), "crowded-lists"), threshold))
         pairs = written(alike(pairs, signed, threshold), "candidates")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
-        found = verified(pairs, written(lists.join(asked, "num"), "candidate-lists"), threshold)
+        found = verified(pairs, written(listed(first.join(asked, "num")), "candidate-lists"), threshold)
         a, b = (first.select(F.col("num").alias(c), F.col("rec_id").alias(f"id_{c}")) for c in ("a", "b"))
         found = found.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
         self.members = records.select("rec_id", "key")
