@@ -8,6 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.llm import near_duplicates as nd
 from tessera.llm.near_duplicates import CANDIDATE, CROWDED, CUT, CUT_CROWDED, NearDuplicates, Regions, components, shingles
 
@@ -150,3 +151,40 @@ def test_components_of_a_chain_and_a_ring(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {f"c{i:02}": "c00" for i in range(21)} | dict.fromkeys("xyz", "x")
     assert components(spark.createDataFrame(edges, "a string, b string").where(F.lit(False))).count() == 0
+
+
+def test_of_a_large_region_only_lookalikes_leave_and_too_many_of_them_crowd_it():
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 1 << 16, (300, nd.VALUES)).astype(np.uint16)
+    for i in (3, 150, 298):
+        values[i + 1] = np.where(rng.random(nd.VALUES) < 0.6, values[i], values[i + 1])
+
+    def told(values, block, cut):
+        sketch, n = nd.sketches(values), len(values)
+        regions, found = Regions(cut, sketched=nd.Sketched(0.5)), []
+        for i in range(0, n, block):
+            own = slice(i, min(n, i + block))
+            size = own.stop - own.start
+            found += regions.add(np.full(size, 7 << 24), np.arange(n)[own], np.zeros(size, bool), sketch=sketch[:, own])
+        found += regions.add(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), last=True)
+        return [(kind, a, b) for kinds, *ab in found for kind, a, b in zip(kinds.tolist(), ab[0].tolist(), ab[1].tolist())]
+
+    for block in (300, 70):
+        assert sorted(told(values, block, False)) == [(CANDIDATE, i, i + 1) for i in (3, 150, 298)]
+    assert [(kind, a) for kind, a, _ in told(values, 70, True)] == [(CUT, i) for i in range(300)]
+    assert sorted(told(values[:20], 20, False)) == [(CANDIDATE, 3, 4)]
+    alike = np.where(rng.random((300, nd.VALUES)) < 0.8, values[0], values)
+    assert sorted(told(alike, 70, False)) == [(CROWDED, i, i) for i in range(300)]
+
+
+def test_parts_give_the_whole_and_intermediates_go_when_they_are_read(spark, monkeypatch):
+    for name, value in (("ROWS_AT_ONCE", 0), ("SHINGLES_A_PART", 1500), ("CLASSES_A_CANDIDATE", 20)):
+        monkeypatch.setattr(nd, name, value)
+    names, write, mark = [], scratch.new_path, len(scratch._written)
+    monkeypatch.setattr(scratch, "new_path", lambda session, name: names.append(name) or write(session, name))
+    texts = boilerplate()
+    found = NearDuplicates(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t", 3, 0.5, trees=8, room=4)
+    assert names.count("forest") == 2 and names.count("exact") > 1 and names.count("found") > 1
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in scratch._written[mark:]}
+    assert left == {"members", "firsts", "links"}
+    assert {tuple(r) for r in found.pairs().collect()} == brute(texts, 3, 0.5)
