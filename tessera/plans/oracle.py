@@ -162,13 +162,15 @@ _VSM = [
 ]
 
 
-def _rm3(k1: float = 1.5, b: float = 0.75) -> list[str]:
+def _rm3(k1: float = 1.5, b: float = 0.75, whole: bool = False) -> list[str]:
+    """``whole``: with all terms of the feedback documents, else with the 24 of the forward index."""
+    kept = "" if whole else " where rank <= 24"
     return [
         *_index(),
         _scored("s1", "qweight", k1, b),
         _top("top1", "s1", 40),
         "fb as (select qid, ord, score / sum(score) over (partition by qid) as p from top1)",
-        "fwd as (select ord, term, tf, dl from (select *, row_number() over (partition by ord order by tf desc, first_pos) as rank from dterm) where rank <= 24)",
+        f"fwd as (select ord, term, tf, dl from (select *, row_number() over (partition by ord order by tf desc, first_pos) as rank from dterm){kept})",
         "model as (select qid, term, sum(p * tf / dl) as weight from fb join fwd using (ord) group by qid, term)",
         "kept as (select qid, term, weight from (select m.*, row_number() over (partition by qid order by round(weight, 9) desc, term) as place from model m join idfs using (term) where idf >= 0.5) where place <= 30)",
         """expanded as (select qid, term, sum(weight) as weight from (
@@ -239,10 +241,10 @@ def _configured(configs: list[tuple], boost: int = 1) -> list[str]:
     ]
 
 
-def _analysis() -> list[str]:
+def _analysis(whole: bool = False) -> list[str]:
     """topic rows with both models' nDCG, the grades of the second and what it added."""
     return [
-        *_rm3(2.0, 0.6), _QRELS,
+        *_rm3(2.0, 0.6, whole), _QRELS,
         "base10 as (select * from top1 where rank <= 10)", *_measured("ma", "base10"), *_measured("mb", "top2"),
         "qlist as (select qid, string_agg(term, ' ' order by pos) as query_terms from qocc group by qid)",
         "nrel as (select qid, sum(case when rel > 0 then 1 else 0 end) as n_relevant from judged group by qid)",
@@ -324,7 +326,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cross_dataset_table": f"select config, dataset, round(ndcg_10, 6) as ndcg_10, round(map_10, 6) as map_10 from ({datasets})",
         "cross_dataset_summary": f"select config, round(avg(ndcg_10), 6) as mean_ndcg, round(min(ndcg_10), 6) as worst_ndcg from ({datasets}) group by config",
-        "error_analysis_per_query": _sql(_analysis(), "select * from analysis"),
+        "error_analysis_per_query": _sql(_analysis(whole=True), "select * from analysis"),
         "rm3_worst_topics": _sql(_analysis(), "select * from analysis order by ndcg_rm3, qid limit 10"),
         "rm3_regressions": _sql(_analysis(), "select * from analysis order by delta, qid limit 10"),
         "skipped_no_qrels": "select distinct qid from queries_dev where qid not in (select qid from qrels where rel is not null)",

@@ -5,8 +5,12 @@ import re
 import pytest
 
 from tessera.operators import ranking as rk
+from tessera.operators.analysis import Analyzer
+from tessera.operators.index import build_index
 from tessera.plans import catalog
 
+PLAIN = Analyzer(remove_stopwords=False, stemming=False)
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -26,3 +30,13 @@ def test_slices_of_a_ranking_and_alike_queries(spark, tables, monkeypatch, rows)
     want = ranked(rk.top_k(rk.bm25_scores(rk.query_weights(asked, index), index), index, 10))
     monkeypatch.setattr(rk, "MERGED_ROWS", rows)
     assert ranked(rk.bm25(asked, index)) == want and want
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_expansion_terms_of_whole_documents(spark, whole):
+    words = [f"w{i:02}" for i in range(30)]
+    rows = [(0, "a", "seed " + " ".join(words)), *((i, f"d{i}", f"x{i}") for i in range(1, 9))]
+    index = build_index(spark.createDataFrame(rows, "ord bigint, doc_id string, text string"), PLAIN)
+    feedback = spark.createDataFrame([("q", 0, 1.0)], "qid string, ord bigint, p double")
+    model = {r.term: r.weight for r in rk.relevance_model(feedback, index, whole=whole).collect()}
+    assert len(model) == (31 if whole else 24) and model["seed"] == pytest.approx(1 / 31)
