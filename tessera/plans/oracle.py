@@ -297,9 +297,9 @@ def oracle_sql() -> dict[str, str]:
         "bm25_k1_zero": _sql([*stemmed, _scored("s", "qweight", 0.0, 0.75), _top("top", "s")], _RANKED + "top"),
         "bm25_b_zero": _sql([*stemmed, _scored("s", "qweight", 1.2, 0.0), _top("top", "s")], _RANKED + "top"),
         "rm3_feedback_weights": _sql(_rm3(), "select qid, ord, round(p, 6) as p from fb"),
-        "rm3_relevance_model": _sql(_rm3(), "select qid, term, round(weight, 6) as weight from kept"),
-        "rm3_expanded_query": _sql(_rm3(), "select qid, term, round(weight, 6) as weight from expanded"),
-        "rm3_top10": _sql(_rm3(), "select qid, doc_id, round(score, 4) as score, rank, qid in (select qid from kept) as expanded from top2"),
+        "rm3_relevance_model": _sql(_rm3(whole=True), "select qid, term, round(weight, 6) as weight from kept"),
+        "rm3_expanded_query": _sql(_rm3(whole=True), "select qid, term, round(weight, 6) as weight from expanded"),
+        "rm3_top10": _sql(_rm3(whole=True), "select qid, doc_id, round(score, 4) as score, rank, qid in (select qid from kept) as expanded from top2"),
         "fill_to_k": _sql(
             [*_ENTRY, "filler as (select ord, doc_id, row_number() over (order by dl desc, ord) - 1 as place from docs)", "state as (select qid, count(score) as n, coalesce(min(score), 1.0) as floor from topics left join top using (qid) group by qid)",
              "free as (select qid, doc_id, floor * 1e-6 - place * 1e-9 as score, n + row_number() over (partition by qid order by place) as rank from state, (select * from filler where place < 20) f where n < 10 and (qid, ord) not in (select (qid, ord) from top))"],
